@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, language
 
 QUERIES = {
+    "op10_language": language.op10_language,
     "op6_decontamination": decontaminate.op6_decontamination,
 }
 SQL = {
