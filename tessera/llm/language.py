@@ -52,7 +52,7 @@ def train(labelled: DataFrame, *, text_col="text", lang_col="lang", dict_bytes=D
     keep = F.lit(False)
     for lang, n in counts.items():
         part = min(1.0, 1.5 * texts / n)
-        limit = -(1 << 63) + int(part * ((1 << 64) - 1))
+        limit = min(-(1 << 63) + int(part * (1 << 64)), (1 << 63) - 1)
         keep = keep | ((F.col("lang") == lang) & (F.col("h") <= limit))
     # Equal texts share a hash and could all pass the threshold, so each (language, hash) is taken once before sending.
     sample = rows.where(keep).groupBy("lang", "h").agg(F.min(F.substring("text", 1, text_bytes)).alias("text"))
