@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, language, packing, secrets
+from tessera.llm import decontaminate, fingerprint, language, packing, secrets
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
     "op7_secrets": secrets.op7_secrets,
     "op8_packing": packing.op8_packing,
     "op10_language": language.op10_language,
