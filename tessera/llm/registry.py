@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, fingerprint, language, packing, secrets
+from tessera.llm import chat, decontaminate, fingerprint, language, licenses, packing, secrets
 
 QUERIES = {
+    "op5_licenses": licenses.op5_licenses,
+    "op9_chat": chat.op9_chat,
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op7_secrets": secrets.op7_secrets,
     "op8_packing": packing.op8_packing,
@@ -12,5 +14,6 @@ QUERIES = {
     "op6_decontamination": decontaminate.op6_decontamination,
 }
 SQL = {
+    "op9_chat": chat.OP9_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
 }
