@@ -13,6 +13,8 @@ from tessera.llm.common import table
 #: Bins (a power of two) and low-order bits kept of each; eight bits make a byte, so a long holds eight bins.
 BINS, BITS = 256, 8
 SHINGLE = 5
+#: Tries to fill an empty bin before all full ones are looked at.
+PROBES = 8
 _ONES = 0x0101010101010101
 
 
@@ -21,6 +23,14 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def mix_pair(a: int, b: int) -> int:
+    """A fixed 64-bit hash of two small numbers."""
+    x = (a * 0x9E3779B97F4A7C15 + (b + 1) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
+    for shift, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * k) & 0xFFFFFFFFFFFFFFFF
+    return x ^ (x >> 31)
+
+
 def fingerprint(text: str, *, bins: int = BINS, size: int = SHINGLE) -> str:
     """SQL for the packed fingerprint (array of longs) of a text expression; empty for a text without words.
 
@@ -32,16 +42,22 @@ def fingerprint(text: str, *, bins: int = BINS, size: int = SHINGLE) -> str:
     shift = 64 - (bins.bit_length() - 1)
     step = (1 << 64) // bins
     hashed = (
-        "transform(array(transform(filter(split(lower({0}), '[\\\\x09-\\\\x0D\\\\x20]+'), w -> w <> ''), w -> xxhash64(w))), w -> "
+        "transform(array(transform(array(btrim(lower({0}), '\\t\\n\\u000B\\u000C\\r ')), t -> if(t = '', cast(array() as array<bigint>), "
+        "transform(split(t, '[\\\\x09-\\\\x0D\\\\x20]+'), w -> xxhash64(w))))[0]), w -> "
         "if(size(w) = 0, cast(array() as array<bigint>), if(size(w) < {1}, array(xxhash64(array_join(transform(w, x -> cast(x as string)), ' '))), "
         "transform(slice(w, 1, size(w) - {2}), (x, i) -> xxhash64(x, {3})))))[0]"
     ).format(text, size, size - 1, ", ".join(f"get(w, i + {k})" for k in range(1, size)))
     # A mark at the top of each bin stands for an empty one: after sorting, the first of each bin is its least.
     marks = "cast(split('" + ",".join(str(b * step + step - 1) for b in range(-bins // 2, bins // 2)) + "', ',') as array<bigint>)"
-    first = _let(f"array_sort(concat(h, {marks}))", "a", f"filter(a, (x, i) -> i = 0 or shiftright(x, {shift}) <> shiftright(get(a, i - 1), {shift}))")
-    full = f"filter(sequence(0, {bins - 1}), b -> (get(m, b) & {step - 1}L) <> {step - 1}L)"
-    pick = f"get(m, cast(array_min(transform(f, k -> (xxhash64(b, k) & {-bins}L) | k)) & {bins - 1}L as int))"
-    dense = _let(full, "f", f"if(size(f) = {bins}, m, transform(m, (x, b) -> if((x & {step - 1}L) <> {step - 1}L, x, {pick})))")
+    first = _let(f"sort_array(concat(h, {marks}))", "a", f"filter(a, (x, i) -> i = 0 or shiftright(x, {shift}) <> shiftright(get(a, i - 1), {shift}))")
+    # Universal hashes of the bin's number are tried in turn; where all tries meet empty bins, the full bin with the
+    # least hash of the pair is taken, which is uniform too.
+    probes = ["cast(split('" + ",".join(str(mix_pair(b, t) % bins) for b in range(bins)) + "', ',') as array<int>)" for t in range(PROBES)]
+    tries = ", ".join(f"get(v, get({q}, b))" for q in probes)
+    full = f"filter(sequence(0, {bins - 1}), k -> get(v, k) is not null)"
+    last = f"get(v, cast(array_min(transform(f, k -> (xxhash64(b, k) & {-bins}L) | k)) & {bins - 1}L as int))"
+    filled = _let(f"transform(m, x -> if((x & {step - 1}L) <> {step - 1}L, x, null))", "v", _let(full, "f", f"transform(v, (x, b) -> coalesce(x, {tries}, {last}))"))
+    dense = f"if(exists(m, x -> (x & {step - 1}L) = {step - 1}L), {filled}, m)"
     packed = _let(dense, "d", f"transform(sequence(0, {bins // 8 - 1}), q -> " + " | ".join(f"shiftleft(get(d, q * 8 + {k}) & 255L, {8 * k})" for k in range(8)) + ")")
     return _let(hashed, "h", f"if(size(h) = 0, cast(array() as array<bigint>), {_let(first, 'm', packed)})")
 
