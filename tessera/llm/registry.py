@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, fingerprint, language, licenses, neardup, packing, quality, secrets
+from tessera.llm import chat, decontaminate, fingerprint, language, licenses, maxent, neardup, packing, quality, secrets
 
 QUERIES = {
+    "op4_lm_score": maxent.op4_lm_score,
     "op2_quality": quality.op2_quality,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op5_licenses": licenses.op5_licenses,
