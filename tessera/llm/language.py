@@ -18,7 +18,10 @@ from tessera.llm.common import id_crc, plain, table, without
 DICT_BYTES, TEXT_BYTES, TEXTS = 96 << 10, 2 << 10, 256
 #: A text is compressed in blocks of so many bytes, so that each meets the dictionary and not the text before it.
 BLOCK_BYTES = 1024
-LEVEL = 6
+#: zstandard levels for texts, and for those of fewer folded bytes than ``SHORT``, where each match tells more.
+LEVEL, SHORT_LEVEL, SHORT = 6, 12, 300
+#: Zeros after each block: else one that hardly shrinks is stored as it is, under every language alike.
+CARRIER = bytes(64)
 #: Margins (second smallest less smallest, by second smallest) below this are rejected.
 MIN_MARGIN = 0.004
 NEW = ("lang_pred", "score", "rejected", "lang_sizes")
@@ -66,17 +69,20 @@ def train(labelled: DataFrame, *, text_col="text", lang_col="lang", dict_bytes=D
     return out
 
 
-_MADE: dict[str, list[tuple[str, zstandard.ZstdCompressor]]] = {}
+_MADE: dict[str, list[tuple[str, zstandard.ZstdCompressor, zstandard.ZstdCompressor]]] = {}
 
 
-def _coders(key: str, dicts: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+def _coders(key: str, dicts: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor, zstandard.ZstdCompressor]]:
     if key not in _MADE:
         _MADE.clear()
         made = []
         for lang, blob in dicts.items():
-            d = zstandard.ZstdCompressionDict(blob, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            made.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            pair = []
+            for level in (LEVEL, SHORT_LEVEL):
+                d = zstandard.ZstdCompressionDict(blob, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=level)
+                pair.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            made.append((lang, *pair))
         _MADE[key] = made
     return _MADE[key]
 
@@ -84,8 +90,9 @@ def _coders(key: str, dicts: dict[str, bytes]) -> list[tuple[str, zstandard.Zstd
 def sizes(text: str, coders) -> list[int]:
     """Compressed bytes of the whole folded text under each language."""
     raw = folded(text)
-    blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-    return [sum(len(c.compress(b)) for b in blocks) for _, c in coders]
+    which = 2 if len(raw) < SHORT else 1
+    blocks = [raw[i : i + BLOCK_BYTES] + CARRIER for i in range(0, len(raw), BLOCK_BYTES)]
+    return [sum(len(c[which].compress(b)) for b in blocks) for c in coders]
 
 
 def decide(text: str, coders, min_margin: float) -> tuple[str, float, bool, list[int]]:
