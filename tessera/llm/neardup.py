@@ -29,7 +29,7 @@ TREES, ROOTS = 8, 9
 #: Minwise values of a sketch, 16 bits each.
 SKETCH = 64
 #: Members of a node that is compared exhaustively; members of a larger one that all the others are compared with.
-NODE, HUBS = 1024, 64
+NODE, HUBS = 4096, 64
 #: Members and shingles of a cluster that one task compares in full; a larger cluster is split.
 CHUNK, CHUNK_SHINGLES, CHUNK_HUBS = 1000, 1_000_000, 32
 BLOCK = 400
@@ -179,20 +179,17 @@ def candidates(reps: DataFrame, percent: int = PERCENT, node: int = NODE, max_de
     least = least_matches(percent)
     keep = SKETCH - (SKETCH - least) // 2
     rows = reps.select("rep", F.explode("roots").alias("node"))
+    sketches = reps.select("rep", "sketch")
     found: list[DataFrame] = []
     for depth in range(max_depth):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        live = stage(rows.join(sizes, "node"))
-        small = live.where(F.col("size") <= node)
-        # Most nodes of the trees hold the same few documents: each set is compared once.
-        sets = small.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("ids")).select("ids").distinct().withColumn("set", F.xxhash64("ids"))
-        members = sets.select("set", F.explode("ids").alias("rep")).join(reps.select("rep", "sketch"), "rep")
-        members = members.groupBy("set").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
-        found.append(stage(_compare_small(members.where("size(members) > 1"), least).distinct()))
+        # Sketches are fetched for members that have company only; merge joins keep one plan at every size.
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").hint("merge")
+        live = stage(rows.join(sizes, "node").join(sketches.hint("merge"), "rep"))
+        small = live.where(F.col("size") <= node).groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
+        found.append(stage(_compare_small(small, least).distinct()))
         hot = live.where(F.col("size") > node)
         if not hot.head(1):
             break
-        hot = hot.join(reps.select("rep", "sketch"), "rep")
         order = Window.partitionBy("node").orderBy(F.xxhash64("rep", F.lit(depth)), "rep")
         hubs = hot.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= HUBS).groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("hubs"))
         out = stage(_branch(hot.join(hubs, "node").select("node", "rep", "sketch", "hubs"), least, keep, depth, percent))
@@ -212,7 +209,7 @@ def shingle_set(text: str, size: int = SIZE) -> frozenset[bytes]:
 
 
 def solve(ids: list[int], texts: list[str], sketches: list[bytes], labels: list[int] | None, first: np.ndarray | None, percent: int, size: int, least: int) -> list[tuple[int, int]]:
-    """Links found among the rows, enough to join what is linked; ``first`` marks those of which a pair needs one.
+    """Stars of what is linked among the rows, or joined by ``labels``; ``first`` marks those of which a pair needs one.
 
     Pairs already joined are not compared; the most central rows come first, as they join most.
     """
@@ -227,7 +224,7 @@ def solve(ids: list[int], texts: list[str], sketches: list[bytes], labels: list[
             sets[i] = shingle_set(texts[i], size)
         return sets[i]
 
-    out = []
+    joined = False
     rank = np.empty(n, np.int64)
     order = np.argsort(-near.astype(np.int64).sum(1), kind="stable")
     rank[order] = np.arange(n)
@@ -243,8 +240,16 @@ def solve(ids: list[int], texts: list[str], sketches: list[bytes], labels: list[
                 continue
             both = len(x & y)
             if both and 100 * both >= percent * (len(x) + len(y) - both):
-                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
                 group[group == group[j]] = group[i]
+                joined = True
+    if not joined:
+        return []
+    # A star for each group: its least member's links to the others.
+    out, centre = [], {}
+    for i in np.argsort(np.array(ids), kind="stable").tolist():
+        root = centre.setdefault(int(group[i]), ids[i])
+        if root != ids[i]:
+            out.append((ids[i], root))
     return out
 
 
@@ -255,11 +260,13 @@ def _solve_groups(rows: DataFrame, keys: list[str], percent: int, size: int, lea
         out = solve(part["rep"].tolist(), part["text"].tolist(), part["sketch"].tolist(), labels, first, percent, size, least)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy(*keys).applyInPandas(run, _EDGE)
+    # A set number of partitions: groups of few bytes can take long, so they aren't merged by size.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).groupBy(*keys).applyInPandas(run, _EDGE)
 
 
-def links(docs: DataFrame, reps: DataFrame, edges: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
-    """Links of full sets (``a, b``) within the clusters that candidate ``edges`` make.
+def linked(docs: DataFrame, reps: DataFrame, edges: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+    """``id, component`` by links of full sets within the clusters that candidate ``edges`` make.
 
     A cluster beyond the bounds of a task is split by hash; its most central members go to every part.  If parts do
     not join, all pairs of which one lies outside the largest component follow in blocks, so no link is lost.
@@ -293,10 +300,11 @@ def links(docs: DataFrame, reps: DataFrame, edges: DataFrame, percent: int = PER
         seats = placed.join(hubs, "rep", "left").select("rep", "cluster", F.when(F.col("hub"), F.expr("sequence(0, parts - 1)")).otherwise(F.array("part")).alias("at"), "sketch")
     texts = docs.where("text is not null").join(seats.select(F.col("rep").alias("doc_id"), "cluster", "at", "sketch"), "doc_id").select(F.col("doc_id").alias("rep"), "cluster", "at", "sketch", "text")
     out = stage(_solve_groups(texts.withColumn("part", F.explode("at")).drop("at"), ["cluster", "part"], percent, size, least).distinct())
+    names = components(out)
     if not any_large:
-        return out
+        return names
     # What is left of large clusters.
-    found = components(out).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+    found = names.select(F.col("id").alias("rep"), F.col("component").alias("label"))
     left = large.select("rep", "cluster", "sketch", "members").join(found, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     left = stage(left)
     groups = left.groupBy("cluster", "label").agg(F.count("*").alias("own")).groupBy("cluster").agg(F.max_by("label", F.struct("own", "label")).alias("main"), F.max("own").alias("in_main"), F.count("*").alias("groups")).where("groups > 1")
@@ -304,7 +312,7 @@ def links(docs: DataFrame, reps: DataFrame, edges: DataFrame, percent: int = PER
     open_ = open_.withColumn("blocks", F.ceil((F.col("members") - F.col("in_main")) / BLOCK)).withColumn("chunks", F.ceil(F.col("members") / BLOCK))
     open_ = stage(open_.drop("members"))
     if not open_.head(1):
-        return out
+        return names
     # A row outside the main component goes, as the first of a pair, to every chunk of its block; every row goes, as the second, to every block of its chunk.
     seats = open_.select("rep", "cluster", "sketch", "label", "first", F.explode(F.when(F.col("first"), F.concat(
         F.expr("transform(sequence(0, chunks - 1), c -> named_struct('block', pmod(xxhash64(rep, 2), blocks), 'chunk', c, 'first', true))"),
@@ -313,7 +321,7 @@ def links(docs: DataFrame, reps: DataFrame, edges: DataFrame, percent: int = PER
     seats = seats.groupBy("rep", "cluster", "label", F.col("s.block").alias("block"), F.col("s.chunk").alias("chunk")).agg(F.max("s.first").alias("first"), F.first("sketch").alias("sketch"))
     texts = seats.join(docs.where("text is not null").select(F.col("doc_id").alias("rep"), "text"), "rep")
     more = _solve_groups(texts, ["cluster", "block", "chunk"], percent, size, least)
-    return out.unionAll(stage(more.distinct()))
+    return components(names.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
@@ -327,13 +335,13 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage(signatures(docs, size))
-    classes = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    joined = stage(signed.join(classes, "cls", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), "roots", "sketch"))
-    reps = joined.where("doc_id = rep and n > 0").dropDuplicates(["rep", "sketch"]).select("rep", "n", "roots", "sketch")
-    found = links(docs, reps, candidates(reps, percent), percent, size)
-    names = components(found)
-    out = joined.select("doc_id", "n", "rep").join(names.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).withColumn(
+    # A class's rows agree in all but the id.
+    reps = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "roots", "sketch")))
+    reps = stage(reps.where("rep is not null"))
+    names = linked(docs, reps, candidates(reps, percent), percent, size)
+    classes = reps.select("cls", "rep").join(names.withColumnRenamed("id", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
+    out = signed.select("doc_id", "n", "cls").join(classes, "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
 
