@@ -64,7 +64,7 @@ class Tokens:
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
-    for lo, hi in slices(texts, 1 << 19):
+    for lo, hi in slices(texts, 1 << 18):
         yield lo, hi, Tokens(texts.slice(lo, hi - lo))
 
 
@@ -88,10 +88,10 @@ def count_tokens(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 held.append((h, t.ending[first], c.astype(np.float64)))
                 size += len(h)
                 pairs += np.bincount(t.before(t.ending, 1, ENDINGS - 1) * ENDINGS + t.ending, minlength=len(pairs))
-                if size > 1_500_000:
+                if size > 400_000:
                     held = [merged(held)]
                     size = len(held[0][0])
-                    if size > 1_000_000:  # bounded: summed again after the shuffle
+                    if size > 250_000:  # bounded: summed again after the shuffle
                         yield emit(*held[0])
                         held, size = [], 0
         if held:
@@ -151,16 +151,28 @@ class Classes:
         return found
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+def logits(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
     z += bias
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return np.clip(z, -60.0, 60.0, out=z)  # keeps exp finite without a maximum of each row
+
+
+def softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    z = logits(weights, bias, rows)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
+def log_probs(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
+    z = logits(weights, bias, rows)
+    own = z[np.arange(len(cls)), cls]
+    np.exp(z, out=z)
+    return own - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+
 def _summed(frame: DataFrame) -> np.ndarray:
     """Sums ``block, payload`` (float32) rows by block, where the tables lie, and returns the bounded whole."""
 
@@ -197,10 +209,10 @@ def _gather(docs: DataFrame, classes: Classes, weights=None, bias=None) -> np.nd
                     total += np.bincount(r * CLASSES + cls, minlength=len(total)).astype(total.dtype)
                 if w is None:
                     continue
-                p = np.exp(log_softmax(w, b0, rows))
+                p = softmax(w, b0, rows)
                 view = total.reshape(ROWS, CLASSES)
                 for r in rows:
-                    order = np.argsort(r, kind="stable")
+                    order = np.argsort(r.astype(np.uint16), kind="stable")  # a radix sort
                     sorted_ = r[order]
                     first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
                     view[sorted_[first]] -= np.add.reduceat(p[order], first, axis=0)
@@ -271,7 +283,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col="doc_id",
             for lo, hi, t in _blocks(plain(b.column(1))):
                 docs_ = hi - lo
                 cls = m.classes.of(t)
-                z = log_softmax(m.weights, m.bias, m.classes.rows(t, cls))[np.arange(len(cls)), cls] / np.log(10) - inside[cls]
+                z = log_probs(m.weights, m.bias, m.classes.rows(t, cls), cls) / np.log(10) - inside[cls]
                 at = np.minimum(np.searchsorted(keys, t.hash), max(len(keys) - 1, 0))
                 ok = keys[at] == t.hash if len(keys) else np.zeros(len(cls), bool)
                 logs = np.where(ok, np.log10(c[at] + 1.0), 0.0) if len(keys) else np.zeros(len(cls))

@@ -277,8 +277,10 @@ class TestMaxEnt:
             which[r.h] = int(k[0]) if len(k) else maxent.SINGLE + int(model.classes.cluster[r.ending])
             inside.setdefault(which[r.h], []).append((r.c + 1) / model.class_total[which[r.h]])
         assert all(abs(sum(v) + 1 / model.class_total[k] - 1) < 1e-9 for k, v in inside.items())
-        z = maxent.log_softmax(model.weights, model.bias, [np.array([5]), np.array([maxent.WORD_ROWS + 3]), np.array([9900]), np.array([18100])])
-        assert abs(np.exp(z).sum() - 1) < 1e-5
+        rows = [np.array([5]), np.array([maxent.WORD_ROWS + 3]), np.array([9900]), np.array([18100])]
+        p = maxent.softmax(model.weights, model.bias, rows)
+        assert abs(p.sum() - 1) < 1e-5
+        assert abs(np.exp(maxent.log_probs(model.weights, model.bias, rows, np.array([7]))[0]) - p[0, 7]) < 1e-5
 
 
 class TestQuality:
