@@ -120,10 +120,10 @@ def count_grams(trusted: DataFrame, order: int) -> DataFrame:
                 grams = np.lib.stride_tricks.sliding_window_view(points, order)[at[where] - order + 1]
                 held.append((key, np.bincount(back).astype(np.float64), np.ascontiguousarray(grams)))
                 size += len(key)
-                if size > 1_000_000:
+                if size > 400_000:
                     held = [flush(held)]
                     size = len(held[0][0])
-                    if size > 500_000:  # what a task holds stays bounded; sums are made again after the shuffle
+                    if size > 250_000:  # what a task holds stays bounded; sums are made again after the shuffle
                         yield emit(held[0])
                         held, size = [], 0
         if held:
