@@ -49,8 +49,7 @@ def contiguous(df: DataFrame, order: str, shards: int) -> DataFrame:
 def shard_meta(df: DataFrame, shards: int, text: str = "text") -> DataFrame:
     """A row per shard, empty ones included: lines, bytes with line ends, and the nominal first and last line of equal blocks."""
     held = df.groupBy("shard").agg(F.count("*").alias("num_lines"), F.sum(F.octet_length(text) + 1).alias("file_size_bytes"))
-    total = df.agg(F.count("*").alias("total"))
-    every = df.sparkSession.range(shards).withColumnRenamed("id", "shard").join(held, "shard", "left").crossJoin(F.broadcast(total))
+    every = df.sparkSession.range(shards).withColumnRenamed("id", "shard").join(held, "shard", "left").withColumn("total", F.lit(df.count()))
     block = F.ceil(F.col("total") / shards)
     start = F.col("shard") * block
     return every.select(

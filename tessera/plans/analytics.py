@@ -271,10 +271,10 @@ _GRID = "g AS (SELECT wid, k AS cores, rep FROM (SELECT DISTINCT c_mktsegment AS
 
 
 def _grid(spark, sf) -> DataFrame:
+    levels = lambda n: F.explode(F.array(*[F.lit(k) for k in n]))
     wid = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("wid")).distinct()
-    cores = spark.createDataFrame([(k,) for k in range(1, 6)], "cores int")
-    reps = spark.createDataFrame([(k,) for k in range(3)], "rep int")
-    return wid.join(F.broadcast(cores)).join(F.broadcast(reps)).where(~((F.col("cores") == 5) & (F.col("rep") > 0)))
+    grid = wid.withColumn("cores", levels(range(1, 6))).withColumn("rep", levels(range(3)))
+    return grid.where(~((F.col("cores") == 5) & (F.col("rep") > 0)))
 
 
 @query(f"WITH {_GRID} SELECT * FROM g")
@@ -499,3 +499,45 @@ def sampler_tumbling(spark, sf):
 def stall_sessions(spark, sf):
     e = table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
     return e.select("user_id", F.col("w.start").alias("start"), "n", "total")
+
+
+# -- remaining scalars ---------------------------------------------------------------------------------------------------
+@query("SELECT event_id FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 200")
+def sample_by_hash(spark, sf):
+    """A seedless sample that is the same everywhere: the rows with the smallest hashes."""
+    return table(spark, sf, "events").select("event_id").orderBy(F.md5(F.col("event_id").cast("string").cast("binary")), "event_id").limit(200)
+
+
+@query("SELECT event_id, round((list_position([1, 2, 4, 8], [1, 2, 4, 8][1 + event_id % 4]) - 1) / 3.0, 6) AS level, least(greatest(floor((event_id % 5 - 2 + 1) / 2.0), 0), 1) AS label, round_even(value, 1) AS half_even FROM events")
+def normalised_scalars(spark, sf):
+    levels = F.array(*[F.lit(k) for k in (1, 2, 4, 8)])
+    own = F.get(levels, (F.col("event_id") % 4).cast("int"))
+    y = F.col("event_id") % 5 - 2
+    return table(spark, sf, "events").select(
+        "event_id", r((F.array_position(levels, own) - 1) / 3.0).alias("level"), F.least(F.greatest(F.floor((y + 1) / 2.0), F.lit(0)), F.lit(1)).cast("double").alias("label"), F.bround("value", 1).alias("half_even")
+    )
+
+
+@query(f"WITH {ITERATIONS} SELECT run, worker, round(sum(iter_time_s) / greatest(sum(CASE WHEN staleness = 0 THEN sync_time_s ELSE 0 END), 1e-4), 6) AS ratio, count(*) FILTER (exit_code = 0) AS good FROM m GROUP BY run, worker")
+def guarded_ratio(spark, sf):
+    low = F.sum(F.when(F.col("staleness") == 0, F.col("sync_time_s")).otherwise(0.0))
+    return iterations(spark, sf).groupBy(*RW).agg(r(F.sum("iter_time_s") / F.greatest(low, F.lit(1e-4))).alias("ratio"), F.count_if(F.col("exit_code") == 0).alias("good"))
+
+
+@query(
+    "SELECT event_id, round((n - 1) * (2.7 + 0.024 * mb / (n - 1)) + 1.0, 6) AS by_size, round((n - 1) * (2.7 + 0.024 * mb / (n - 1) + 0.3 * (c - 4)) + 1.0, 6) AS by_size_and_cores, "
+    "round((n - 1) * (1.6 + 0.05 * greatest(0, c - 4)) + 1.0, 6) AS by_cores FROM (SELECT event_id, user_id % 5 + 2 AS n, value AS mb, user_id % 8 + 1 AS c FROM events)"
+)
+def memory_estimates(spark, sf):
+    """GB that a run of n - 1 workers is taken to need, by three published rules."""
+    n, mb, c = F.col("user_id") % 5 + 1, F.col("value"), F.col("user_id") % 8 + 1
+    return table(spark, sf, "events").select(
+        "event_id", r(n * (2.7 + 0.024 * mb / n) + 1.0).alias("by_size"), r(n * (2.7 + 0.024 * mb / n + 0.3 * (c - 4)) + 1.0).alias("by_size_and_cores"),
+        r(n * (1.6 + 0.05 * F.greatest(F.lit(0), c - 4)) + 1.0).alias("by_cores"),
+    )
+
+
+@query(f"WITH {ITERATIONS}, a AS (SELECT run, iteration, avg(loss) AS l FROM m GROUP BY run, iteration) SELECT run, list(round(l, 6) ORDER BY iteration)[1:5] AS series FROM a GROUP BY run")
+def loss_series(spark, sf):
+    a = iterations(spark, sf).groupBy("run", "iteration").agg(r(F.avg("loss")).alias("l"))
+    return a.where("iteration <= 5").groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("iteration", "l"))), lambda x: x["l"]).alias("series"))
