@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import by_range, cuts_of, range_of
+
 
 def resolve_workers(workers: int | None) -> int:
     return max(1, int(workers)) if workers is not None else 1
@@ -21,17 +23,14 @@ def numbered(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame
     so no task sees all rows.
     """
     n = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(order, [k / n for k in range(1, n)], 10000)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    ranged = df.withColumn("__range", place)
-    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    cuts = cuts_of(df, order, n)
+    ranged = df.withColumn("__range", F.expr(range_of(order, cuts)))
+    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}  # a row per range
     before, total = {}, 0
     for k in sorted(sizes):
         before[k], total = total, total + sizes[k]
-    shift = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
     own = F.row_number().over(Window.partitionBy("__range").orderBy(order))
-    return ranged.withColumn("line", (own - 1 + F.element_at(shift, F.col("__range"))).cast("bigint")).drop("__range")
+    return ranged.withColumn("line", (own - 1 + F.expr(by_range(before, len(cuts) + 2, "__range"))).cast("bigint")).drop("__range")
 
 
 def round_robin(df: DataFrame, order: str, shards: int) -> DataFrame:
