@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.operators.ranges import by_range, cuts_of, range_of
 
 #: Bins (a power of two) and low-order bits kept of each; eight bits make a byte, so a long holds eight bins.
 BINS, BITS = 256, 8
@@ -94,32 +95,18 @@ def next_rows(docs: DataFrame, key: str, buckets: int) -> DataFrame:
     as a ghost, to the end of the range before it.  Nulls come last; ties are ordered by the other columns.
     """
     columns = docs.columns
-    cuts = docs.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 10000)).first()[0] if buckets > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    # Two levels of comparisons, so that a row meets the square root of the cuts.
-    width = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    if groups:
-        heads = "array(" + ", ".join(f"{g[0]}L" for g in groups[1:]) + ")" if len(groups) > 1 else "cast(array() as array<bigint>)"
-        inner = "array(" + ", ".join("array(" + ", ".join(f"{c}L" for c in g) + ")" for g in groups) + ")"
-        place = f"transform(array(size(filter({heads}, c -> `{key}` < c))), g -> g * {width} + size(filter(get({inner}, g), c -> `{key}` < c)))[0]"
-        # A key at a cut's value counts as not less than it.
-        place = f"if(`{key}` is null, {len(cuts)}, {place})"
-    else:
-        place = "0"
-    own = docs.withColumn("__range", F.expr(place))
+    cuts = cuts_of(docs, key, buckets)
+    own = docs.withColumn("__range", F.expr(range_of(key, cuts)))
     # The first key of each range that has rows: a row per range.
-    firsts = own.groupBy("__range").agg(F.max(F.struct(F.col(key).isNotNull().alias("k"), F.col(key).alias("v"))).alias("f")).collect()
-    order = sorted(r["__range"] for r in firsts)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    ghosts_to = "cast(null as int)"
-    if order:
-        ghosts_to = "element_at(map(" + ", ".join(f"{a}, {b}" for a, b in before.items()) + "), __range)"
-    top = "map(" + ", ".join(f"{r['__range']}, {'cast(null as bigint)' if r['f']['v'] is None else str(r['f']['v']) + 'L'}" for r in firsts) + ")" if firsts else "map(0, 0L)"
-    first = own.where(F.expr(f"`{key}` <=> element_at({top}, __range)"))
+    tops = {r["__range"]: r["top"] for r in own.groupBy("__range").agg(F.max(key).alias("top")).collect()}
+    order = sorted((k for k in tops if k <= len(cuts)), reverse=True) + [k for k in tops if k > len(cuts)]
+    ahead = {r: order[i - 1] for i, r in enumerate(order)}
+    count = len(cuts) + 2
+    top = f"if(__range > {len(cuts)}, null, {by_range({k: v for k, v in tops.items() if v is not None}, count, '__range')})"
     rest = [c for c in columns if c != key]
     w = Window.partitionBy("__range").orderBy(F.col(key).desc_nulls_last(), *rest)
-    ghosts = first.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n").withColumn("__range", F.expr(ghosts_to)).withColumn("__ghost", F.lit(True))
+    first = own.where(F.expr(f"`{key}` <=> {top}")).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    ghosts = first.withColumn("__range", F.expr(f"cast({by_range(ahead, count, '__range')} as int)")).withColumn("__ghost", F.lit(True))
     both = own.withColumn("__ghost", F.lit(False)).unionByName(ghosts)
     w = Window.partitionBy("__range").orderBy("__ghost", F.col(key).desc_nulls_last(), *rest)
     return both.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("not __ghost").drop("__ghost", "__range")

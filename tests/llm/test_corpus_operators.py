@@ -125,6 +125,10 @@ class TestFingerprints:
         for buckets in (1, 3, 20):
             got = sorted((r.doc_id, r.next.doc_id) for r in fingerprint.next_rows(df, "doc_id", buckets).collect())
             assert got == [(-4, 50), (1, -4), (3, 1), (7, 3), (7, 7), (9, 7), (50, 9)]
+        with_null = df.unionAll(spark.createDataFrame([(None, "n")], df.schema))
+        for buckets in (1, 5):
+            got = {(r.doc_id, r.next.doc_id) for r in fingerprint.next_rows(with_null, "doc_id", buckets).collect()}
+            assert (-4, None) in got and (None, 50) in got and len(got) == 8
         assert fingerprint.next_rows(df.where("false"), "doc_id", 4).count() == 0
         assert fingerprint.next_rows(df.where("doc_id = 9"), "doc_id", 4).first().next.doc_id == 9
 
