@@ -55,3 +55,20 @@ def shard_meta(df: DataFrame, shards: int, text: str = "text") -> DataFrame:
         "shard", F.coalesce("num_lines", F.lit(0)).alias("num_lines"), F.coalesce("file_size_bytes", F.lit(0)).cast("bigint").alias("file_size_bytes"),
         start.cast("bigint").alias("start_line"), F.least(start + block, F.col("total")).cast("bigint").alias("end_line"),
     )
+
+
+def line_numbers(lines: DataFrame) -> DataFrame:
+    """Adds ``line``, a file's line numbers from 0: rows keep their partition, and only partitions' sizes are gathered."""
+    own = lines.withColumn("__id", F.monotonically_increasing_id())
+    # The high bits name the partition, the low 33 the row in it.
+    sizes = {r["p"]: r["count"] for r in own.groupBy(F.shiftright("__id", 33).alias("p")).count().collect()}
+    before, total = {}, 0
+    for p in sorted(sizes):
+        before[p], total = total, total + sizes[p]
+    shift = by_range(before, max(sizes, default=0) + 1, "cast(shiftright(__id, 33) as int)")
+    return own.withColumn("line", F.expr(f"{shift} + (__id & {(1 << 33) - 1}L)")).drop("__id")
+
+
+def write_shards(df: DataFrame, path: str) -> None:
+    """A folder for each shard; many files at once."""
+    df.write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ddl = T.StructType.fromDDL
+_KINDS = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
+
+
+def ddl(text: str) -> T.StructType:
+    """Columns from "name type, name type"; needs no session."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (c.split() for c in text.split(","))])
+
 
 # The columns of each table, in order.
 KMEANS_ITERATIONS = ddl("iteration int, spark_time_s double, sync_time_s double, iter_time_s double, centroid_shift double, global_wcss double, sync_overhead_pct double")

@@ -268,3 +268,52 @@ def test_streamed_server_folds_in_order(spark, tmp_path):
     got = streams.drain(streams.parameter_server(streams.read_stream(spark, str(tmp_path / "u"))), "append").orderBy("seq").collect()
     assert [(r.version, r.staleness, r.alpha) for r in got] == [(1, 0, 1.0), (2, 1, 0.25), (3, 0, 0.5)]
     assert got[-1].weight_norm == pytest.approx((1 * 0.75 + 3 * 0.25) / 2 + 2.5)
+
+
+class TestApp:
+    def test_wordcount_over_shards_equals_the_baseline(self, spark, tmp_path):
+        from tessera import app
+
+        (tmp_path / "t.txt").write_text("spark spark mpi\nmpi spark data\ndata mpi\n" * 7)
+        got = app.run(spark, "wordcount", str(tmp_path / "t.txt"), workers=3, compare=True)
+        assert got["top"] == got["baseline_top"] == [("mpi", 21), ("spark", 21), ("data", 14)]
+        with pytest.raises(ValueError):
+            app.run(spark, "sort", str(tmp_path / "t.txt"))
+
+    def test_kmeans_and_logreg_from_files(self, spark, cloud, tmp_path):
+        from tessera import app
+
+        _, x, y, _ = cloud
+        (tmp_path / "p.csv").write_text("a,b\n" + "\n".join(f"{a},{b}" for a, b in x) + "\n")
+        got = app.run(spark, "kmeans", str(tmp_path / "p.csv"), workers=3, reassign=True, compare=True, results_dir=str(tmp_path / "r"))
+        assert got["rows"] == 600 and got["wcss"] <= got["baseline_wcss"] * 1.01
+        assert spark.read.option("header", True).csv(str(tmp_path / "r/kmeans_ps_sync_fedavg_mpi_iterations")).count() == got["rounds"]
+        many = app.run(spark, "kmeans", str(tmp_path / "p.csv"), workers=3, gossip=True, kmeans_iter=2)
+        assert many["wcss"] <= got["baseline_wcss"] * 1.1
+        (tmp_path / "l.csv").write_text("\n".join(f"{a},{b},{k}" for (a, b), k in zip(x, y, strict=True)) + "\n")
+        got = app.run(spark, "logreg", str(tmp_path / "l.csv"), workers=2, logreg_features=2, compare=True)
+        assert got["rows"] == 600 and abs(got["accuracy"] - got["baseline_accuracy"]) <= 0.03
+
+    def test_line_numbers_follow_the_file(self, spark, tmp_path):
+        (tmp_path / "n.txt").write_text("".join(f"{k}\n" for k in range(1000)))
+        df = sharding.line_numbers(spark.read.option("maxPartitionBytes", "200").text(str(tmp_path / "n.txt")))
+        assert df.where("cast(value as bigint) <> line").count() == 0 and df.count() == 1000
+
+    def test_recorders(self, spark):
+        from tessera.recorders import Recorder, Stopwatch
+
+        k = Recorder.kmeans()
+        k.record(iteration=1, sync_time_s=1.0, iter_time_s=4.0, global_wcss=9.0)
+        k.record(iteration=2, sync_time_s=1.0, iter_time_s=0.0, global_wcss=8.0)
+        assert k.series("sync_overhead_pct") == [25.0, 0.0] and k.last("global_wcss") == 8.0 and k.frame(spark).count() == 2
+        with pytest.raises(KeyError):
+            k.record(other=1)
+        w = Stopwatch()
+        assert w.elapsed("x") == 0.0
+        with pytest.raises(KeyError):
+            w.stop("x")
+
+    def test_summary_figures(self, spark):
+        body = "Final |w| : 0.32\nWeighted accuracy:  0.63\nTotal Wall-clock Time   26.05 s\n"
+        r = text.summary_figures(spark.createDataFrame([(body,)], "body string"), "body").first()
+        assert (r.final_weight_norm, r.weighted_accuracy, r.wall_clock_s, r.proc_time_s) == (0.32, 0.63, 26.05, None)
