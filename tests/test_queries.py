@@ -24,7 +24,7 @@ def duck(sf_dir):
 def rows(frame):
     frame = frame[sorted(frame.columns)]
     cell = lambda v: f"{v:.8g}" if isinstance(v, float) else repr(v.tolist()) if hasattr(v, "tolist") and not isinstance(v, float) else str(v)
-    return sorted(tuple("nan" if v is None or v != v else cell(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("nan" if v is None or (isinstance(v, float) and v != v) or str(v) in ("nan", "NaT", "<NA>") else cell(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
