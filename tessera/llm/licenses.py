@@ -123,3 +123,33 @@ def scan(docs: DataFrame, pairs=TEMPLATES, *, id_col="doc_id", text_col="text",
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
     return scan(docs).select("doc_id", "path", "own_license", "cosine", "inherited_from", "license")
+
+
+def _sql() -> str:
+    quoted = ", ".join(f"({k}, '{lic}', '{text}')" for k, (lic, text) in enumerate(TEMPLATES))
+    terms = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+    return f"""
+WITH d AS (SELECT doc_id, text, concat_ws('/', coalesce(source, ''), CAST(doc_id AS VARCHAR) || '.txt') AS path FROM documents),
+tpl AS (SELECT * FROM (VALUES {quoted}) t(template, license, notice)),
+tt AS (SELECT template, license, unnest({terms.format("notice")}) AS term FROM tpl),
+voc AS (SELECT DISTINCT term FROM tt),
+dt AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({terms.format("text")}) AS term FROM documents) JOIN voc USING (term) GROUP BY term),
+nn AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT voc.term, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0 AS idf FROM voc LEFT JOIN dt USING (term), nn),
+tv AS (SELECT template, license, term, count(*) * any_value(idf) AS w FROM tt JOIN idf USING (term) GROUP BY ALL),
+tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tv GROUP BY template),
+held AS (SELECT doc_id, text FROM d WHERE regexp_matches(lower(text), '{ANCHORS}')),
+u0 AS (SELECT doc_id, text AS t, unnest(list_distinct([text] || string_split(text, chr(10)) || regexp_split_to_array(text, '\n[ \t]*\n'))) AS u FROM held),
+u AS (SELECT row_number() OVER () AS unit, doc_id, u = t AND len(terms) >= {FILE_TERMS} AS whole, terms FROM (SELECT *, {terms.format("u")} AS terms FROM u0) WHERE regexp_matches(lower(u), '{ANCHORS}')),
+uw AS (SELECT unit, doc_id, whole, term, count(*) * coalesce(any_value(idf), any_value(ln(n + 1.0) + 1.0)) AS w FROM (SELECT unit, doc_id, whole, unnest(terms) AS term FROM u) LEFT JOIN idf USING (term), nn GROUP BY unit, doc_id, whole, term),
+un AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY unit),
+cs AS (SELECT uw.unit, uw.doc_id, uw.whole, tv.template, tv.license, round(sum(uw.w * tv.w / tn.norm) / any_value(un.norm), 6) AS cosine FROM uw JOIN tv ON uw.term = tv.term JOIN tn ON tn.template = tv.template JOIN un ON un.unit = uw.unit GROUP BY uw.unit, uw.doc_id, uw.whole, tv.template, tv.license),
+best AS (SELECT doc_id, arg_max(license, (cosine, -template)) AS own_license, max(cosine) AS cosine, max(CASE WHEN whole THEN cosine END) AS whole FROM cs GROUP BY doc_id HAVING max(cosine) >= {LEAST_COSINE}),
+o AS (SELECT d.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, own_license, cosine, whole FROM d LEFT JOIN best USING (doc_id)),
+given AS (SELECT dir AS home, arg_min(own_license, (-cosine, path)) AS given FROM o WHERE own_license IS NOT NULL AND (regexp_matches(lower(path), '{FILES}') OR whole >= {FILE_COSINE}) GROUP BY dir),
+near AS (SELECT o.dir, arg_max(home, length(home)) AS home, arg_max(given, length(home)) AS given FROM (SELECT DISTINCT dir FROM o) o JOIN given ON o.dir = home OR home = '' OR starts_with(o.dir, home || '/') GROUP BY o.dir)
+SELECT o.doc_id, path, own_license, cosine, CASE WHEN own_license IS NULL THEN near.home END AS inherited_from, coalesce(own_license, near.given) AS license FROM o LEFT JOIN near USING (dir)
+"""
+
+
+OP5_SQL = _sql()

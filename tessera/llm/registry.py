@@ -17,6 +17,8 @@ QUERIES = {
     "op6_decontamination": decontaminate.op6_decontamination,
 }
 SQL = {
+    "op5_licenses": licenses.OP5_SQL,
+    "op3_near_duplicates": neardup.OP3_SQL,
     "op9_chat": chat.OP9_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
 }
