@@ -11,6 +11,7 @@ from tessera.plans.tables import CELLS, ITERATIONS, cells, iterations, table
 
 QUERIES, SQL = {}, {}
 RW = ["run", "worker"]
+_SHARE = "(CASE WHEN iter_time_s > 0 THEN sync_time_s / iter_time_s ELSE 0.0 END)"
 
 
 def query(sql: str | None = None):
@@ -177,7 +178,7 @@ def describe_pop(spark, sf):
     return iterations(spark, sf).groupBy("run").agg(r(F.avg("iter_time_s")).alias("mean"), r(F.max("iter_time_s")).alias("max"), r(F.min("iter_time_s")).alias("min"), r(F.stddev_pop("iter_time_s")).alias("std"))
 
 
-@query(f"WITH {ITERATIONS} SELECT run, iteration, round(avg(sync_time_s / iter_time_s * 100), 4) AS pct_mean, round(max(sync_time_s / iter_time_s * 100), 4) AS pct_max, round(min(sync_time_s / iter_time_s * 100), 4) AS pct_min, round(avg(wcss), 6) AS wcss_mean FROM m GROUP BY run, iteration")
+@query(f"WITH {ITERATIONS} SELECT run, iteration, round(avg({_SHARE} * 100), 4) AS pct_mean, round(max({_SHARE} * 100), 4) AS pct_max, round(min({_SHARE} * 100), 4) AS pct_min, round(avg(wcss), 6) AS wcss_mean FROM m GROUP BY run, iteration")
 def across_ranks(spark, sf):
     pct = scalars.ratio(F.col("sync_time_s"), F.col("iter_time_s")) * 100
     return iterations(spark, sf).withColumn("p", pct).groupBy("run", "iteration").agg(r(F.avg("p"), 4).alias("pct_mean"), r(F.max("p"), 4).alias("pct_max"), r(F.min("p"), 4).alias("pct_min"), r(F.avg("wcss")).alias("wcss_mean"))
@@ -208,7 +209,8 @@ def distinct_runs(spark, sf):
     return iterations(spark, sf).groupBy("run").agg(F.countDistinct("worker").alias("workers"), F.countDistinct("user_id").alias("users"))
 
 
-_CLASS = "CASE WHEN spark_time_s / iter_time_s > 0.6 THEN 'compute' WHEN spark_time_s / iter_time_s < 0.4 THEN 'sync' ELSE 'balanced' END"
+_FRACTION = "CASE WHEN iter_time_s > 0 THEN spark_time_s / iter_time_s ELSE 0.0 END"
+_CLASS = f"CASE WHEN {_FRACTION} > 0.6 THEN 'compute' WHEN {_FRACTION} < 0.4 THEN 'sync' ELSE 'balanced' END"
 
 
 @query(
@@ -216,7 +218,7 @@ _CLASS = "CASE WHEN spark_time_s / iter_time_s > 0.6 THEN 'compute' WHEN spark_t
     "SELECT run, CASE WHEN a >= b AND a >= d THEN 'compute' WHEN b >= d THEN 'sync' ELSE 'balanced' END AS mode FROM n"
 )
 def majority_class(spark, sf):
-    k = iterations(spark, sf).withColumn("c", scalars.bottleneck(F.col("spark_time_s") / F.col("iter_time_s")))
+    k = iterations(spark, sf).withColumn("c", scalars.bottleneck(scalars.ratio(F.col("spark_time_s"), F.col("iter_time_s"))))
     n = k.groupBy("run").agg(*(F.count_if(F.col("c") == c).alias(c) for c in ("compute", "sync", "balanced")))
     return n.select("run", F.when((F.col("compute") >= F.col("sync")) & (F.col("compute") >= F.col("balanced")), "compute").when(F.col("sync") >= F.col("balanced"), "sync").otherwise("balanced").alias("mode"))
 
@@ -242,7 +244,7 @@ def staleness_and_sync(spark, sf):
     return iterations(spark, sf).groupBy("run").agg(r(F.avg("staleness")).alias("mean"), F.max("staleness").alias("max"), r(F.sum("sync_time_s") / F.countDistinct("worker"), 6).alias("sync_per_worker"))
 
 
-@query(f"WITH {ITERATIONS} SELECT run, worker, round(sum(row_count) / sum(iter_time_s), 4) AS throughput, round(avg(sync_time_s / iter_time_s) * 100, 4) AS sync_mean, round(max(sync_time_s / iter_time_s) * 100, 4) AS sync_max FROM m GROUP BY run, worker")
+@query(f"WITH {ITERATIONS} SELECT run, worker, round(sum(row_count) / sum(iter_time_s), 4) AS throughput, round(avg({_SHARE}) * 100, 4) AS sync_mean, round(max({_SHARE}) * 100, 4) AS sync_max FROM m GROUP BY run, worker")
 def throughput(spark, sf):
     share = scalars.ratio(F.col("sync_time_s"), F.col("iter_time_s"))
     return iterations(spark, sf).withColumn("s", share).groupBy(*RW).agg(r(F.sum("row_count") / F.sum("iter_time_s"), 4).alias("throughput"), r(F.avg("s") * 100, 4).alias("sync_mean"), r(F.max("s") * 100, 4).alias("sync_max"))
@@ -253,7 +255,7 @@ def worker_timing(spark, sf):
     return iterations(spark, sf).where("exit_code = 0").groupBy("run").agg(F.count("*").alias("n"), r(F.avg("iter_time_s")).alias("avg_s"), r(F.max("iter_time_s")).alias("max_s"))
 
 
-@query(f"WITH {ITERATIONS} SELECT run, worker, round(arg_max(wcss, iteration), 6) AS last_wcss, round(arg_max(sync_time_s, iteration) / arg_max(iter_time_s, iteration) * 100, 4) AS overhead FROM m GROUP BY run, worker")
+@query(f"WITH {ITERATIONS} SELECT run, worker, round(arg_max(wcss, iteration), 6) AS last_wcss, round(arg_max(sync_time_s, iteration) / nullif(arg_max(iter_time_s, iteration), 0) * 100, 4) AS overhead FROM m GROUP BY run, worker")
 def last_iteration(spark, sf):
     last = iterations(spark, sf).groupBy(*RW).agg(F.max_by(F.struct("wcss", "sync_time_s", "iter_time_s"), "iteration").alias("l"))
     return last.select(*RW, r("l.wcss").alias("last_wcss"), r(F.try_divide("l.sync_time_s", "l.iter_time_s") * 100, 4).alias("overhead"))
@@ -353,11 +355,11 @@ def dedup_first(spark, sf):
 # -- experiments ---------------------------------------------------------------------------------------------------------
 @query(
     f"WITH {ITERATIONS}, t AS (SELECT *, lag(wcss) {_W} AS p, {_CLASS} AS c FROM m), n AS (SELECT run, iteration, max(iter_time_s) - min(iter_time_s) AS v FROM m GROUP BY run, iteration) "
-    "SELECT t.run, t.worker, round(avg(spark_time_s / iter_time_s), 6) AS spark_fraction, round(avg(CASE WHEN p > 0 THEN (p - wcss) / p ELSE 0.0 END), 6) AS drop_rate, round(avg(n.v), 6) AS variance_s, "
+    f"SELECT t.run, t.worker, round(avg({_FRACTION}), 6) AS spark_fraction, round(avg(CASE WHEN p > 0 THEN (p - wcss) / p ELSE 0.0 END), 6) AS drop_rate, round(avg(n.v), 6) AS variance_s, "
     "count(*) FILTER (c = 'compute') AS compute, count(*) FILTER (c = 'sync') AS sync FROM t JOIN n ON t.run = n.run AND t.iteration = n.iteration GROUP BY t.run, t.worker"
 )
 def bottleneck_summary(spark, sf):
-    it = M.drop_rate(iterations(spark, sf), "wcss", RW, "iteration").withColumn("f", F.col("spark_time_s") / F.col("iter_time_s"))
+    it = M.drop_rate(iterations(spark, sf), "wcss", RW, "iteration").withColumn("f", scalars.ratio(F.col("spark_time_s"), F.col("iter_time_s")))
     it = it.withColumn("c", scalars.bottleneck(F.col("f")))
     spread = iterations(spark, sf).groupBy("run", "iteration").agg((F.max("iter_time_s") - F.min("iter_time_s")).alias("v"))
     return it.join(spread, ["run", "iteration"]).groupBy(*RW).agg(
@@ -382,12 +384,12 @@ def feature_matrix(spark, sf):
 
 @query(
     f"WITH {ITERATIONS}, n AS (SELECT run, iteration, max(iter_time_s) - min(iter_time_s) AS v FROM m GROUP BY run, iteration), v AS (SELECT run, avg(v) AS v FROM n GROUP BY run), "
-    f"k AS (SELECT run, avg(spark_time_s / iter_time_s) AS f FROM m GROUP BY run) SELECT k.run, CASE WHEN f > 0.6 THEN 'INCREASE cores' WHEN f < 0.4 THEN 'REDUCE ranks' ELSE 'HOLD' END AS action, v.v > 0.5 AS straggler FROM k JOIN v ON k.run = v.run"
+    f"k AS (SELECT run, avg({_FRACTION}) AS f FROM m GROUP BY run) SELECT k.run, CASE WHEN f > 0.6 THEN 'INCREASE cores' WHEN f < 0.4 THEN 'REDUCE ranks' ELSE 'HOLD' END AS action, v.v > 0.5 AS straggler FROM k JOIN v ON k.run = v.run"
 )
 def allocator_action(spark, sf):
     it = iterations(spark, sf)
     v = it.groupBy("run", "iteration").agg((F.max("iter_time_s") - F.min("iter_time_s")).alias("v")).groupBy("run").agg(F.avg("v").alias("v"))
-    k = it.groupBy("run").agg(scalars.bottleneck(F.avg(F.col("spark_time_s") / F.col("iter_time_s"))).alias("c"))
+    k = it.groupBy("run").agg(scalars.bottleneck(F.avg(scalars.ratio(F.col("spark_time_s"), F.col("iter_time_s")))).alias("c"))
     action = F.when(F.col("c") == "compute", "INCREASE cores").when(F.col("c") == "sync", "REDUCE ranks").otherwise("HOLD")
     return k.join(v, "run").select("run", action.alias("action"), (F.col("v") > 0.5).alias("straggler"))
 
@@ -486,9 +488,9 @@ def stall_windows(spark, sf):
     return s.select("run", "win", r("busiest", 4).alias("busiest"), "n", (F.col("busiest") < 150).alias("stalled"))
 
 
-@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS peak FROM events GROUP BY ALL")
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(avg(value), 10) AS mean, max(value) AS peak FROM events GROUP BY ALL")
 def sampler_tumbling(spark, sf):
-    e = table(spark, sf, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"), F.max("value").alias("peak"))
+    e = table(spark, sf, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), r(F.avg("value"), 10).alias("mean"), F.max("value").alias("peak"))
     return e.select("event_type", F.col("w.start").alias("start"), "n", "mean", "peak")
 
 

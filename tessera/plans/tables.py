@@ -42,7 +42,7 @@ def iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("iteration", F.row_number().over(w).cast("bigint")).withColumn("spark_time_s", F.col("iter_time_s") * (0.3 + 0.01 * (F.col("event_id") % 60)))
     return e.withColumns({
         "sync_time_s": F.col("iter_time_s") - F.col("spark_time_s"), "wcss": 1000.0 / (F.col("iteration") + F.col("event_id") % 7),
-        "loss": 2.0 / (1 + F.col("iteration")) + F.col("iter_time_s") / 10000, "grad_norm": F.col("iter_time_s") / F.col("iteration"),
+        "loss": 2.0 / (1.1 + F.col("iteration")) + F.col("iter_time_s") / 10000, "grad_norm": F.col("iter_time_s") / F.col("iteration"),
         "weight_norm": 1.0 + F.col("event_id") % 11, "row_count": 100 + F.col("event_id") % 50, "exit_code": F.when(F.col("user_id") % 17 == 0, 1).otherwise(0),
         "staleness": F.col("event_id") % 5,
     })
@@ -52,7 +52,7 @@ ITERATIONS = """e AS (
   SELECT event_type AS run, user_id % 4 AS worker, event_id, user_id, value AS iter_time_s, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id) AS iteration,
     value * (0.3 + 0.01 * (event_id % 60)) AS spark_time_s FROM events
 ), m AS (
-  SELECT *, iter_time_s - spark_time_s AS sync_time_s, 1000.0 / (iteration + event_id % 7) AS wcss, 2.0 / (1 + iteration) + iter_time_s / 10000 AS loss, iter_time_s / iteration AS grad_norm,
+  SELECT *, iter_time_s - spark_time_s AS sync_time_s, 1000.0 / (iteration + event_id % 7) AS wcss, 2.0 / (1.1 + iteration) + iter_time_s / 10000 AS loss, iter_time_s / iteration AS grad_norm,
     1.0 + event_id % 11 AS weight_norm, 100 + event_id % 50 AS row_count, CASE WHEN user_id % 17 = 0 THEN 1 ELSE 0 END AS exit_code, event_id % 5 AS staleness FROM e
 )"""
 
