@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import sync_modes
 from tessera.operators.assignment import align
+from tessera.operators.models import model_table
 from tessera.operators.ring import neighbours
 
 
@@ -80,17 +81,15 @@ def _collect(rows, features, k: int, key: Callable) -> dict[int, Stats]:
 
 
 def global_stats(points: DataFrame, features: Sequence[str], centres: np.ndarray) -> Stats:
-    found = _collect(cluster_stats(points, features, centres).collect(), features, len(centres), lambda _: 0)
-    return found.get(0, Stats(np.zeros_like(centres), np.zeros(len(centres)), 0.0))
+    """All points as one shard: with centres as columns, code is compiled once for all steps."""
+    return shard_stats(points.withColumn("__all", F.lit(0).cast("bigint")), features, {0: np.asarray(centres, float)}, "__all")[0]
 
 
 def shard_stats(points: DataFrame, features: Sequence[str], models: dict[int, np.ndarray], shard: str = "shard") -> dict[int, Stats]:
     """Each shard's points against its own centres, all shards in one aggregation."""
     k, d = next(iter(models.values())).shape
     names = [[f"__c{i}_{j}" for j in range(d)] for i in range(k)]
-    rows = [(int(s), *(float(x) for x in m.ravel())) for s, m in models.items()]
-    schema = f"`{shard}` bigint, " + ", ".join(f"{n} double" for row in names for n in row)
-    table = F.broadcast(points.sparkSession.createDataFrame(rows, schema))
+    table = F.broadcast(model_table(points.sparkSession, shard, {s: m.ravel() for s, m in models.items()}, [n for row in names for n in row]))
     joined = points.withColumn(shard, F.col(shard).cast("bigint")).join(table, shard)
     stats = cluster_stats(joined, features, [[F.col(n) for n in row] for row in names], shard)
     found = _collect(stats.collect(), features, k, lambda r: r[shard])

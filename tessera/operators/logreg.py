@@ -17,6 +17,7 @@ from tessera.functions.linalg import linear, log_one_plus_exp, sigmoid
 from tessera.operators import sync_modes
 from tessera.operators.kmeans import blend_on_arrival, ring_peers, weighted
 from tessera.operators.lbfgs import Trace, minimise
+from tessera.operators.models import model_table
 
 
 def loss_terms(features: Sequence[str], label: str, weights: Sequence, intercept) -> tuple[Column, list[Column], Column]:
@@ -52,7 +53,7 @@ def shard_stats(points: DataFrame, features: Sequence[str], label: str, models:
     """Statistics of each shard at its own model (weights, then intercept), in one aggregation."""
     d = len(features)
     names = [f"__w{i}" for i in range(d + 1)]
-    table = F.broadcast(points.sparkSession.createDataFrame([(int(s), *map(float, m)) for s, m in models.items()], f"`{shard}` bigint, " + ", ".join(f"{n} double" for n in names)))
+    table = F.broadcast(model_table(points.sparkSession, shard, models, names))
     joined = points.withColumn(shard, F.col(shard).cast("bigint")).join(table, shard)
     cols = [F.col(n) for n in names]
     rows = point_stats(joined, features, label, cols[:d], cols[d], shard).collect()
@@ -200,8 +201,11 @@ def cosine_rate(step: int, steps: int, high: float, low: float = 0.0) -> float:
 def _allreduce(points, features, label, shard, model, epochs, rate, reg, tol) -> Result:
     log, before, stop, used = [], None, False, 0
     model[-1] = 0.0
+    shards = [r[0] for r in points.select(F.col(shard).cast("bigint")).distinct().collect()]
+    if not shards:
+        raise RuntimeError("no usable rows")
     for used in range(1, epochs + 1):
-        rows = [_stats(r, len(features)) for r in point_stats(points, features, label, model[:-1], 0.0, shard).collect()]
+        rows = list(shard_stats(points, features, label, dict.fromkeys(shards, model), shard).values())
         loss = float(np.mean([s.loss for s in rows]))
         step = cosine_rate(used - 1, epochs, rate)
         model[:-1] -= step * (np.mean([s.gradient[:-1] for s in rows], axis=0) + reg * model[:-1])
