@@ -1,12 +1,11 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark windows."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark's words."""
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +18,9 @@ from tessera.llm.common import plain, table, without
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
-#: Bytes of benchmark text that one automaton takes; a larger benchmark is split over several passes.
-AUTOMATON_BYTES = 16 << 20
+#: Benchmark words that one automaton takes (a node and a vocabulary entry each at most, some 250 bytes in all); a
+#: larger benchmark is split over several passes.
+AUTOMATON_WORDS = 1 << 20
 NEW = ("n_words", "n_hit", "items", "spans", "contaminated")
 _RUNS, _SEEN = "__tessera_runs", "__tessera_seen"
 
@@ -29,57 +29,145 @@ def fold(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
-def item_windows(text: str | None, window: int) -> list[str]:
-    """All runs of ``window`` words of an item (an item of fewer words is one), spaced on both sides."""
-    words = fold(text or "").split()
-    if not words:
-        return []
-    spans = [words[i : i + window] for i in range(max(1, len(words) - window + 1))]
-    return [" " + b" ".join(s).decode("latin-1") + " " for s in spans]
+class Automaton:
+    """Aho-Corasick over sequences of numbers from 1 to ``symbols``: one table of transitions, for alphabets of any size."""
 
+    def __init__(self, patterns: Iterable[tuple[int, ...]], symbols: int):
+        self.width = width = symbols + 1
+        self.go: dict[int, int] = {}
+        self.ends: dict[int, tuple[int, ...]] = {}
+        parent, symbol, levels = array("I", [0]), array("I", [0]), []
+        for pattern in patterns:
+            state = 0
+            for depth, w in enumerate(pattern):
+                key = state * width + w
+                state = self.go.get(key, 0)
+                if not state:
+                    state = self.go[key] = len(parent)
+                    parent.append(key // width)
+                    symbol.append(w)
+                    if depth == len(levels):
+                        levels.append(array("I"))
+                    levels[depth].append(state)
+            self.ends[state] = pattern
+        self.fail = array("I", bytes(4 * len(parent)))
+        #: The longest pattern that ends in a state: its own or that of a shorter suffix; and the next shorter one.
+        self.found = array("I", bytes(4 * len(parent)))
+        for level in levels:
+            for state in level:
+                back = self.fail[parent[state]] if parent[state] else None
+                while back is not None:
+                    to = self.go.get(back * width + symbol[state])
+                    if to is not None:
+                        self.fail[state] = to
+                        break
+                    back = self.fail[back] if back else None
+                self.found[state] = state if state in self.ends else self.found[self.fail[state]]
 
-_MADE: dict[str, ahocorasick.Automaton] = {}
+    def matches(self, seq: Iterable[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """Every occurrence of a pattern: the index after it, and the pattern.  A 0 matches nothing."""
+        go, fail, found, width = self.go, self.fail, self.found, self.width
+        state = 0
+        for i, w in enumerate(seq, 1):
+            if not w:
+                state = 0
+                continue
+            while True:
+                to = go.get(state * width + w)
+                if to is not None:
+                    state = to
+                    break
+                if not state:
+                    break
+                state = fail[state]
+            end = found[state]
+            while end:
+                yield i, self.ends[end]
+                end = found[fail[end]]
 
 
-def _automaton(key: str, items: list[tuple[str, str]], window: int) -> ahocorasick.Automaton:
-    """Built once in a worker; a pattern's value holds its word count and its items."""
-    if key not in _MADE:
-        found: dict[str, set[str]] = {}
+class Matcher:
+    """An Aho-Corasick automaton over words that finds every occurrence of an item's windows.
+
+    Whatever holds a window of ``window`` consecutive item words holds one of the item's blocks of ``window // 2 + 1``
+    words that begin at its multiples, so blocks are the patterns, a state a word, and a found block is widened to the
+    whole run of equal words.  An item of fewer words than a window is a pattern of its own.  Items of equal words are
+    one text with several ids.
+    """
+
+    def __init__(self, items: Iterable[tuple[str, str]], window: int):
+        self.window = window
+        self.number: dict[bytes, int] = {}
+        texts: dict[bytes, set[str]] = {}
         for item, text in items:
-            for w in item_windows(text, window):
-                found.setdefault(w, set()).add(item)
-        a = ahocorasick.Automaton()
-        for w, ids in found.items():
-            a.add_word(w, (w.count(" ") - 1, tuple(sorted(ids))))
-        if found:
-            a.make_automaton()
-        _MADE.clear()
-        _MADE[key] = a
-    return _MADE[key]
+            words = fold(text).split()
+            if words:
+                texts.setdefault(b" ".join(words), set()).add(item)
+        block = window // 2 + 1
+        self.ids: list[tuple[str, ...]] = []
+        self.words: list[array] = []
+        self.places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for line, own in texts.items():
+            n = array("I", (self.number.setdefault(w, len(self.number) + 1) for w in line.split()))
+            k = len(self.words)
+            self.words.append(n)
+            self.ids.append(tuple(sorted(own)))
+            for i in range(0, len(n) - block + 1, block) if len(n) >= window else (0,):
+                self.places.setdefault(tuple(n[i : i + block]) if len(n) >= window else tuple(n), []).append((k, i))
+        self.automaton = Automaton(self.places, len(self.number))
+
+    def scan(self, text: str) -> tuple[int, list[int], set[str]]:
+        """Words of the text, hit word ranges (start, end, start, end, ...; disjoint, ascending) and items found."""
+        words = fold(text).split()
+        number = self.number
+        if not words or not number:
+            return len(words), [], set()
+        doc = [number.get(w, 0) for w in words]
+        found: list[tuple[int, int]] = []
+        items: set[str] = set()
+        done: dict[tuple[int, int], int] = {}
+        for end, pattern in self.automaton.matches(doc):
+            first = end - len(pattern)
+            for k, at in self.places[pattern]:
+                item = self.words[k]
+                if len(item) < self.window:
+                    found.append((first, end))
+                    items.update(self.ids[k])
+                    continue
+                if done.get((k, first - at), 0) >= end:  # a run already widened over this block
+                    continue
+                lo, i = first, at
+                while lo and i and doc[lo - 1] == item[i - 1]:
+                    lo, i = lo - 1, i - 1
+                hi, j = end, at + len(pattern)
+                while hi < len(doc) and j < len(item) and doc[hi] == item[j]:
+                    hi, j = hi + 1, j + 1
+                done[k, first - at] = hi
+                if hi - lo >= self.window:
+                    found.append((lo, hi))
+                    items.update(self.ids[k])
+        return len(words), _joined(found), items
 
 
-def scan(text: str, automaton) -> tuple[int, list[int], set[str]]:
-    """Words of the text, hit word ranges (start, end, start, end, ...; disjoint, ascending) and items found."""
-    words = fold(text).split()
-    if not words or not len(automaton):
-        return len(words), [], set()
-    line = " " + b" ".join(words).decode("latin-1") + " "
-    runs: list[int] = []
-    items: set[str] = set()
-    at = spaces = 0
-    for end, (length, ids) in automaton.iter(line):
-        spaces += line.count(" ", at, end + 1)
-        at = end + 1
-        last = spaces - 1
-        first = last - length
-        items.update(ids)
-        while runs and first <= runs[-2]:
-            del runs[-2:]
-        if runs and first <= runs[-1]:
-            runs[-1] = max(runs[-1], last)
+def _joined(spans: list[tuple[int, int]]) -> list[int]:
+    out: list[int] = []
+    for x, y in sorted(spans):
+        if out and x <= out[-1]:
+            out[-1] = max(out[-1], y)
         else:
-            runs += [first, last]
-    return len(words), runs, items
+            out += [x, y]
+    return out
+
+
+_MADE: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, items: list[tuple[str, str]], window: int) -> Matcher:
+    """Built once in a worker."""
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Matcher(items, window)
+    return _MADE[key]
 
 
 def original_spans(text: str, runs: list[int]) -> list[dict[str, int]]:
@@ -93,19 +181,9 @@ def original_spans(text: str, runs: list[int]) -> list[dict[str, int]]:
     return [{"start": int(points[starts[a]]), "end": int(points[ends[b - 1]])} for a, b in zip(runs[::2], runs[1::2], strict=True)]
 
 
-def _merge(a: list[int], b: list[int]) -> list[int]:
-    out: list[int] = []
-    for x, y in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
-        if out and x <= out[-1]:
-            out[-1] = max(out[-1], y)
-        else:
-            out += [x, y]
-    return out
-
-
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 13, share: int = 20, automaton_bytes: int = AUTOMATON_BYTES,
+    window: int = 13, share: int = 20, automaton_words: int = AUTOMATON_WORDS,
 ) -> DataFrame:
     """Mark the words of whole documents that lie in any occurrence of a benchmark window.
 
@@ -113,14 +191,14 @@ def decontaminate(
     ranges of hit text, ends exclusive) and ``contaminated`` (``n_hit > 0`` and ``share * n_hit >= n_words``); these
     replace columns of the same names.  A null or empty text has no words and no hits.  Items with a null id, or
     without words, match nothing; items that share an id count as one.  Repeated rows are each scanned.  An empty
-    benchmark hits nothing.  No row moves between executors; the benchmark is sent out in passes of at most
-    ``automaton_bytes`` of text, one automaton each.
+    benchmark hits nothing.  No row moves between executors; one automaton takes about ``automaton_words`` words, and a
+    benchmark of more is sent out in several passes over the documents.
     """
     spark = docs.sparkSession
     docs = without(docs, NEW)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-size // automaton_bytes))
+    size = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    passes = max(1, -(-size // automaton_words))
     out = docs
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
@@ -137,16 +215,16 @@ def _pass(spark, docs, items, kept: T.StructType, text_col, window, share, first
         more = T.StructType.fromDDL(f"{_RUNS} array<bigint>, {_SEEN} array<string>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _automaton(key, sent.value, window)
+        matcher = _matcher(key, sent.value, window)
         for b in batches:
             texts = plain(b.column(names.index(text_col)))
             rows = []
             old = [([], [])] * b.num_rows if first else zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True)
             for text, (runs0, seen0) in zip(texts, old, strict=True):
                 text = text.as_py()
-                n, runs, seen = scan(text, a)
+                n, runs, seen = matcher.scan(text)
                 if runs0 or seen0:
-                    runs, seen = _merge(runs0, runs), seen | set(seen0)
+                    runs, seen = _joined([*zip(runs0[::2], runs0[1::2], strict=True), *zip(runs[::2], runs[1::2], strict=True)]), seen | set(seen0)
                 if final:
                     hit = sum(runs[1::2]) - sum(runs[::2])
                     rows.append((n, hit, sorted(seen), original_spans(text, runs) if runs else [], hit > 0 and share * hit >= n))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, components, decontaminate, fingerprint, language, licenses, maxent, neardup, packing, quality, secrets
@@ -172,7 +177,7 @@ class TestDecontamination:
         docs = docs_of(spark, rows).withColumn("N_Words", F.lit(1))
         split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
         for limit in (1 << 20, 150):
-            got = decontaminate.decontaminate(docs, bench, automaton_bytes=limit).collect()
+            got = decontaminate.decontaminate(docs, bench, automaton_words=limit).collect()
             assert len(got) == len(rows)
             for r in got:
                 w = split(r.text)
@@ -192,6 +197,37 @@ class TestDecontamination:
         assert decontaminate.decontaminate(docs, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
 
 
+    def test_automaton_and_windows_on_few_words(self):
+        r = random.Random(4)
+        for _ in range(300):
+            few = ["a", "b"] if r.random() < 0.5 else ["a", "b", "c"]
+            items = [(str(k), " ".join(r.choice(few) for _ in range(r.randrange(1, 12)))) for k in range(5)]
+            doc = [r.choice([*few, "x"]) for _ in range(r.randrange(1, 40))]
+            window = r.randrange(2, 6)
+            hit, seen = set(), set()
+            for k, t in items:
+                v = t.split()
+                for i in range(max(1, len(v) - window + 1)):
+                    win = v[i : i + window]
+                    for q in range(len(doc) - len(win) + 1):
+                        if doc[q : q + len(win)] == win:
+                            hit.update(range(q, q + len(win)))
+                            seen.add(k)
+            n, runs, found = decontaminate.Matcher(items, window).scan(" ".join(doc))
+            assert n == len(doc) and found == seen and {p for a, b in zip(runs[::2], runs[1::2], strict=True) for p in range(a, b)} == hit
+
+    def test_a_benchmark_of_five_megabytes_stays_small(self):
+        code = (
+            "import random, resource; from tessera.llm.decontaminate import Matcher\n"
+            "r = random.Random(1); items = [(str(k), ' '.join('%x' % r.getrandbits(24) for _ in range(60))) for k in range(12500)]\n"
+            "assert sum(len(t) for _, t in items) > 5_000_000\n"
+            "a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; m = Matcher(items, 13)\n"
+            "assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a < 500 << 10\n"
+            "assert m.scan('x ' + items[77][1] + ' y') == (62, [1, 61], {'77'})\n"
+        )
+        assert subprocess.run([sys.executable, "-c", code], timeout=300, check=False, env=os.environ).returncode == 0
+
+
 class TestPacking:
     def test_round_trip(self, spark, texts):
         from tokenizers import Tokenizer
@@ -247,10 +283,41 @@ class TestLanguage:
         odd = docs_of(spark, [(1, None), (2, ""), (3, "123 ... ½"), (4, "the the"), (4, "the the")]).withColumn("Score", F.lit(2))
         rows = {r.doc_id: r for r in language.identify(odd, dicts).collect()}
         assert all(rows[k].lang_pred == "und" and rows[k].score == 0 and rows[k].rejected for k in (1, 2, 3))
-        assert rows[4].lang_pred in dicts and 0 <= rows[4].score <= 1
+        coders = language._coders("test", dicts)
+        for k in (4,):
+            own = [len(c.compress(language.folded("the the") + language.CARRIER)) for _, c in coders]
+            assert rows[k].lang_sizes == own and rows[k].lang_pred == coders[own.index(min(own))][0]
         assert language.identify(odd, {}).where("lang_pred = 'und'").count() == 5
         assert language.train(docs.where("false")) == {}
 
+    def test_sizes_of_long_texts_and_ties(self, spark):
+        dicts = {"b": language.folded("the cat sat on the mat and the dog lay by the door"), "a": language.folded("der hund lag vor der tuer und die katze schlief")}
+        same = {"b": b"some words here ", "a": b"some words here "}
+        long_ = words(60_000, 3, "long")
+        docs = docs_of(spark, [(1, long_), (2, "the dog and the cat"), (2, "the dog and the cat")])
+        got = {r.doc_id: r for r in language.identify(docs, dicts).collect()}
+        raw, want = language.folded(long_), []
+        for blob in dicts.values():
+            c = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(blob, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            want.append(sum(len(c.compress(raw[i : i + 1024] + bytes(64))) for i in range(0, len(raw), 1024)))
+        assert len(raw) > 300_000 and got[1].lang_sizes == want and got[2].lang_pred == "b"
+        tied = language.identify(docs, same).collect()
+        assert all(r.lang_pred == "a" and r.score == 0 and r.rejected for r in tied) and len(tied) == 3
+
+    def test_copies_do_not_crowd_out_a_language(self, spark):
+        copy = "Der schnelle braune Fuchs springt über den faulen Hund und läuft dann weiter in den Wald hinein."
+        rows = [(copy, "de")] * 3000 + [(words(40, k, "en"), "en") for k in range(600)] + [(words(3000, 9, "long"), "fr"), (None, "it"), ("123", "pt"), ("text", None)]
+        df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+        got = language.train(df)
+        assert set(got) == {"de", "en", "fr"} and got["de"] == language.folded(copy) and len(got["en"]) <= language.DICT_BYTES
+        # Brute force: the least hashes of all distinct pieces.
+        made = {}
+        for t, lang in rows:
+            if t and lang and language.has_letter(t):
+                raw = language.folded(t)
+                made.setdefault(lang, {}).update({xxhash.xxh3_64_intdigest(raw[i : i + 1024]) >> 1: raw[i : i + 1024] for i in range(0, len(raw), 1024)})
+        assert got == {lang: b"".join(v[h] for h in sorted(v)[:96]) for lang, v in sorted(made.items())}
+
 
 class TestMaxEnt:
     def test_base_counts_and_gain(self, spark, sf_dir):
