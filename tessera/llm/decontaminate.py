@@ -89,7 +89,7 @@ class Automaton:
 class Matcher:
     """An Aho-Corasick automaton over words that finds every occurrence of an item's windows.
 
-    Whatever holds a window of ``window`` consecutive item words holds one of the item's blocks of ``window // 2 + 1``
+    Whatever holds a window of ``window`` consecutive item words holds one of the item's blocks of ``(window + 1) // 2``
     words that begin at its multiples, so blocks are the patterns, a state a word, and a found block is widened to the
     whole run of equal words.  An item of fewer words than a window is a pattern of its own.  Items of equal words are
     one text with several ids.
@@ -103,7 +103,7 @@ class Matcher:
             words = fold(text).split()
             if words:
                 texts.setdefault(b" ".join(words), set()).add(item)
-        block = window // 2 + 1
+        block = (window + 1) // 2
         self.ids: list[tuple[str, ...]] = []
         self.words: list[array] = []
         self.places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
