@@ -9,6 +9,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -165,6 +166,64 @@ class TestSecrets:
         assert secrets.scan(docs.where("false")).count() == 0
 
 
+    def test_random_spans_against_brute_force(self, spark):
+        model = secrets.train(secrets.default_samples(spark, 3000))
+        index = {c: k + 1 for k, c in enumerate(secrets.ALPHABET)}
+
+        def ratio(run):
+            at = [0, *(index.get(c, 0) for c in run)]
+            return sum(round(model[a * secrets.STATES + b], 5) for a, b in zip(at, at[1:], strict=False))
+
+        r = random.Random(8)
+        rows = []
+        for k in range(60):
+            parts = []
+            for _ in range(r.randrange(1, 30)):
+                kind = r.randrange(6)
+                blob = "".join(r.choice(secrets.ALPHABET[:62]) for _ in range(r.randrange(10, 45)))
+                parts.append(["plain", blob, "token=" + blob, hashlib.md5(blob.encode()).hexdigest(), "some_long_identifier_with_parts", "é/" + blob + "=="][kind])
+            rows.append((k, r.choice([" ", "  ", ", ", "\n"]).join(parts)))
+        got = {x.doc_id: [tuple(v) for v in x.spans] for x in secrets.scan(docs_of(spark, rows), model).collect()}
+        for k, t in rows:
+            base = self.brute(t)
+            more = []
+            for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
+                v = ratio(m[0])
+                if v >= secrets.LEAST_RATIO and v >= secrets.LEAST_MEAN * len(m[0]) and not any(m.start() < e and a < m.end() for a, _, e in base):
+                    more.append((m.start(), 3, m.end()))
+            assert got[k] == sorted(base + more)
+        plain = {x.doc_id: [tuple(v) for v in x.spans] for x in secrets.scan(docs_of(spark, rows)).collect()}
+        assert all(plain[k] == self.brute(t) for k, t in rows)
+
+    def test_precision_and_recall_on_unseen_strings(self, spark, sf_dir):
+        r = random.Random(5)
+        sets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + x for x in ("", "+/", "-_")] + ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+        rows, place = [], {}
+        for x in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(150).collect():
+            key = "".join(r.choice(sets[x.doc_id % 5]) for _ in range(r.choice([24, 32, 40])))
+            at = (x.text or "").find(" ") + 1
+            rows.append((x.doc_id, (x.text or "")[:at] + key + " " + (x.text or "")[at:]))
+            place[x.doc_id] = (at, at + len(key))
+        found = secrets.scan(docs_of(spark, rows), secrets.train(secrets.default_samples(spark))).collect()
+        hit = sum(any(v.start < place[x.doc_id][1] and place[x.doc_id][0] < v.end for v in x.spans) for x in found)
+        wrong = sum(v.kind == 3 and not (v.start < place[x.doc_id][1] and place[x.doc_id][0] < v.end) for x in found for v in x.spans)
+        assert hit >= 0.97 * len(rows) and wrong <= 0.02 * len(rows)
+
+    def test_long_texts_take_little_more_than_their_length(self, spark):
+        secrets_ = lambda n: " ".join(f'é token = "{hashlib.md5(str(k).encode()).hexdigest()[:10]}" x{"Ab9" * 7}' for k in range(n))
+        model = secrets.train(secrets.default_samples(spark, 500))
+        took = []
+        for n in (2000, 8000, 32000):
+            t = secrets_(n)
+            found = secrets.scan(docs_of(spark, [(1, t)]), model)
+            start = time.perf_counter()
+            got = secrets.redact(found).select("spans", "text").first()
+            took.append(time.perf_counter() - start)
+            assert [tuple(v) for v in got.spans if v.kind == 0] == self.brute(t)
+            assert "token" not in got.text and got.text.count("[REDACTED]") == len(got.spans)
+        assert took[2] < 8 * max(took[1], 0.5)
+
+
 class TestDecontamination:
     def test_against_brute_force(self, spark):
         items = [(1, words(20, 50)), (2, words(5, 51)), (3, words(20, 50)), (4, ""), (5, None), (None, words(14, 52)), (6, words(40, 53))]
