@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.staging import shared_folder
+from tessera.staging import stage, unstage
+
+__all__ = ["Words", "id_crc", "mix", "offsets", "plain", "shingles", "slices", "stage", "table", "unstage", "without"]
 
 #: Bytes of text that one vectorised step takes at most (a longer text makes a step of its own).
 STEP_BYTES = 1 << 20
@@ -19,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def without(df: DataFrame, names) -> DataFrame:
     """``df`` less the columns that a result will add (results replace clashing inputs, in any letter case)."""
     low = {n.lower() for n in names}

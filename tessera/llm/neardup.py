@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Words, plain, shingles, slices, stage, table
-from tessera.llm.components import components
+from tessera.llm.common import Words, plain, shingles, slices, stage, table, unstage
+from tessera.llm.components import components, join_sized, joined_least
 
 SIZE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -30,6 +31,8 @@ TREES, ROOTS = 8, 9
 SKETCH = 64
 #: Members of a node that is compared exhaustively; members of a larger one that all the others are compared with.
 NODE, HUBS = 4096, 64
+#: Members of a large group that one task sees after the group's guides.
+PART = 8192
 #: Members and shingles of a cluster that one task compares in full; a larger cluster is split.
 CHUNK, CHUNK_SHINGLES, CHUNK_HUBS = 1000, 1_000_000, 32
 BLOCK = 400
@@ -51,12 +54,13 @@ def minwise(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, cls, n, roots, sketch`` of (doc_id, text): class of the word sequence, set size, root nodes and sketch; nulls for no words."""
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("cls binary, n bigint, roots array<bigint>, sketch binary").fields])
+    """``doc_id, hash, cls, n, roots, sketch`` of (doc_id, text): hash of the text, class of the word sequence, set size, root nodes and sketch; nulls for no words."""
+    docs = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    schema = T.StructType([*docs.schema.fields[:2], *T.StructType.fromDDL("cls binary, n bigint, roots array<bigint>, sketch binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = plain(b.column(1))
+            texts = plain(b.column(2))
             for lo, hi in slices(texts):
                 part = texts.slice(lo, hi - lo)
                 h, begin = shingles(Words(part), size)
@@ -76,7 +80,7 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
                         roots[i] = at[k]
                         sketch[i] = small[k].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(cls, pa.binary()), pa.array(n), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(cls, pa.binary()), pa.array(n), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                     names=schema.fieldNames(),
                 )
 
@@ -138,44 +142,89 @@ def _compare_small(sets: DataFrame, least: int) -> DataFrame:
     return sets.select("members").mapInArrow(run, _EDGE)
 
 
-def _branch(hot: DataFrame, least: int, keep: int, depth: int, percent: int) -> DataFrame:
+def _dealt(members: DataFrame, guides: DataFrame, key: str, size: str) -> DataFrame:
+    """Members (rep, sketch) of large groups after their group's guides, in one stream for each part of a group.
+
+    A group of ``size`` members is dealt in parts of about ``PART`` by hash; each part has the guides first, once, and
+    then its members row by row, so neither a row nor a task holds more than the guides beside it.
+    """
+    parts = F.ceil(F.col(size) / PART)
+    own = members.select(key, F.pmod(F.xxhash64("rep", F.lit(7)), parts).alias("part"), F.lit(1).alias("kind"), "rep", "sketch")
+    lead = guides.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.lit(0).alias("kind"), "rep", "sketch")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lead.unionAll(own).repartition(n, key, "part").sortWithinPartitions(key, "part", "kind", "rep")
+
+
+class _Guides:
+    """The guides of the part that a stream of ``_dealt`` rows is in."""
+
+    def __init__(self):
+        self.at, self.ids, self.sketches, self.matrix = None, [], [], None
+
+    def take(self, at, kind: int, rep: int, sketch: bytes) -> bool:
+        """Whether the row is a guide (and kept as one)."""
+        if at != self.at:
+            self.at, self.ids, self.sketches, self.matrix = at, [], [], None
+        if kind == 0:
+            self.ids.append(rep)
+            self.sketches.append(sketch)
+            return True
+        if self.matrix is None:
+            self.matrix = _matrix(self.sketches)
+        return False
+
+
+def _branch(dealt: DataFrame, least: int, keep: int, depth: int, percent: int) -> DataFrame:
     """Large nodes: members linked with hubs (``a, b``), and the nodes (``node, rep``) that the others branch to.
 
-    Rows: node, rep, sketch, hubs (ids and sketches).  A member alike a hub beyond ``keep`` is done with: what it
-    links to meets that hub as well.
+    A member alike a hub beyond ``keep`` is done with: what it links to meets that hub as well.  Hubs that are joined
+    among themselves need one link with a member, and of hubs that are not each gets its own, so no cluster is lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs, group = _Guides(), None
         for b in batches:
-            node, rep = b.column("node").to_numpy(), b.column("rep").to_numpy()
             a, to, child = [], [], []
-            own, hubs = b.column("sketch"), b.column("hubs")
-            last, hub_ids, hub_m = None, None, None
-            for i in range(b.num_rows):
-                if last != node[i]:
-                    got = hubs[i].as_py()
-                    last, hub_ids, hub_m = node[i], np.array([g["rep"] for g in got]), _matrix([g["sketch"] for g in got])
-                s = np.frombuffer(own[i].as_py(), np.uint16)
-                m = np.count_nonzero(hub_m == s, axis=1)
-                m[hub_ids == rep[i]] = 0
-                for h in hub_ids[m >= least][: 4 if rep[i] not in hub_ids else None]:
-                    a.append(int(rep[i]))
-                    to.append(int(h))
-                    child.append(None)
+            for node, part, kind, rep, sketch in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if hubs.take((node, part), kind, rep, sketch):
+                    group = None
+                    continue
+                if group is None:
+                    stars = _stars(np.array(hubs.ids), matches(hubs.matrix, hubs.matrix) >= least)
+                    root = dict(stars)
+                    group = np.array([root.get(h, h) for h in hubs.ids])
+                    hub_ids = np.array(hubs.ids)
+                    if part == 0:
+                        a += [x for x, _ in stars]
+                        to += [y for _, y in stars]
+                        child += [None] * len(stars)
+                s = np.frombuffer(sketch, np.uint16)
+                m = np.count_nonzero(hubs.matrix == s, axis=1)
+                m[hub_ids == rep] = 0
+                alike = m >= least
+                if alike.any() and rep not in root and rep not in group:
+                    _, first = np.unique(group[alike], return_index=True)
+                    for h in hub_ids[alike][first]:
+                        a.append(rep)
+                        to.append(int(h))
+                        child.append(None)
                 if m.max(initial=0) < keep:
                     # Selected positions follow from the node, alike for all its members; 1 / similarity on average.
-                    r = np.random.default_rng([int(node[i]) & 0x7FFFFFFFFFFFFFFF, depth])
+                    r = np.random.default_rng([node & 0x7FFFFFFFFFFFFFFF, depth])
                     for p in r.permutation(SKETCH)[: 1 + (r.random() < 100 / percent - 1)]:
-                        a.append(int(rep[i]))
+                        a.append(rep)
                         to.append(None)
-                        child.append(int.from_bytes(hashlib.blake2b(b"%d %d %d %d" % (node[i], depth, p, s[p]), digest_size=8).digest(), "little", signed=True))
+                        child.append(int.from_bytes(hashlib.blake2b(b"%d %d %d %d" % (node, depth, p, s[p]), digest_size=8).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, to, child)], names=["a", "b", "node"])
 
-    return hot.mapInArrow(run, _EDGE + ", node bigint")
+    return dealt.mapInArrow(run, _EDGE + ", node bigint")
 
 
 def candidates(reps: DataFrame, percent: int = PERCENT, node: int = NODE, max_depth: int = 64) -> DataFrame:
-    """Links (``a, b``) that join, in clusters, all pairs of (rep, roots, sketch) that meet in a node and whose sketches are alike."""
+    """Links (``a, b``) that join, in clusters, all pairs of (rep, roots, sketch) that meet in a node and whose sketches are alike.
+
+    An error is raised should nodes still be large after ``max_depth`` branchings.
+    """
     least = least_matches(percent)
     keep = SKETCH - (SKETCH - least) // 2
     rows = reps.select("rep", F.explode("roots").alias("node"))
@@ -189,16 +238,17 @@ def candidates(reps: DataFrame, percent: int = PERCENT, node: int = NODE, max_de
         found.append(stage(_compare_small(small, least).distinct()))
         hot = live.where(F.col("size") > node)
         if not hot.head(1):
+            unstage(live)
             break
         order = Window.partitionBy("node").orderBy(F.xxhash64("rep", F.lit(depth)), "rep")
-        hubs = hot.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= HUBS).groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("hubs"))
-        out = stage(_branch(hot.join(hubs, "node").select("node", "rep", "sketch", "hubs"), least, keep, depth, percent))
+        hubs = hot.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= HUBS)
+        out = stage(_branch(_dealt(hot, hubs, "node", "size"), least, keep, depth, percent))
+        unstage(live)
         found.append(out.where("b is not null").select("a", "b"))
         rows = out.where("node is not null").select(F.col("a").alias("rep"), "node")
-    edges = found[0]
-    for e in found[1:]:
-        edges = edges.unionAll(e)
-    return edges
+    else:
+        raise RuntimeError(f"nodes of over {node} members after {max_depth} branchings")
+    return reduce(DataFrame.unionAll, found)
 
 
 def shingle_set(text: str, size: int = SIZE) -> frozenset[bytes]:
@@ -255,6 +305,7 @@ def solve(ids: list[int], texts: list[str], sketches: list[bytes], labels: list[
 
 def _solve_groups(rows: DataFrame, keys: list[str], percent: int, size: int, least: int) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("rep")  # a row may be repeated
         labels = part["label"].tolist() if "label" in part else None
         first = part["first"].to_numpy(bool) if "first" in part else None
         out = solve(part["rep"].tolist(), part["text"].tolist(), part["sketch"].tolist(), labels, first, percent, size, least)
@@ -265,85 +316,107 @@ def _solve_groups(rows: DataFrame, keys: list[str], percent: int, size: int, lea
     return rows.repartition(n, *keys).groupBy(*keys).applyInPandas(run, _EDGE)
 
 
+def representatives(signed: DataFrame) -> DataFrame:
+    """One row for each class of signed rows: ``cls, copies, rep`` (a number), the least id, and a row's id and text hash.
+
+    A class's rows agree in all but the id and text.  Classes are numbered and not named by an id, as rows may share one.
+    """
+    one = signed.where("n > 0").groupBy("cls").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "hash")).alias("at"), *(F.first(c).alias(c) for c in ("n", "roots", "sketch"))
+    )
+    return stage(one.select("cls", "copies", "least_id", "at.doc_id", "at.hash", "n", "roots", "sketch", F.monotonically_increasing_id().alias("rep")))
+
+
+def _texts(docs: DataFrame, seats: DataFrame) -> DataFrame:
+    """Seats (doc_id, hash and others) with their texts."""
+    rows = docs.where("text is not null").select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), "text")
+    return seats.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).drop("doc_id", "hash", "__id", "__hash")
+
+
 def linked(docs: DataFrame, reps: DataFrame, edges: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
-    """``id, component`` by links of full sets within the clusters that candidate ``edges`` make.
+    """``id, component`` (numbers of representatives) by links of full sets within the clusters that candidate ``edges`` make.
 
     A cluster beyond the bounds of a task is split by hash; its most central members go to every part.  If parts do
     not join, all pairs of which one lies outside the largest component follow in blocks, so no link is lost.
     """
     least = least_matches(percent)
-    clusters = stage(components(edges).join(reps.select(F.col("rep").alias("id"), "n", "sketch"), "id").select(F.col("id").alias("rep"), F.col("component").alias("cluster"), "n", "sketch"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    named = components(edges).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    clusters = stage(named.join(reps.select("rep", "doc_id", "hash", "n", "sketch"), "rep").select("rep", "cluster", "doc_id", "hash", "n", "sketch"))
+    total = clusters.count()
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("__n"), F.count("*").alias("members"), F.sum("n").alias("shingles"))
     sizes = sizes.withColumn("parts", F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)))
-    placed = stage(clusters.join(sizes.select("cluster", "parts", "members"), "cluster").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    placed = join_sized(clusters, sizes.select("cluster", "parts", "members", "__n"), "cluster", total)
+    placed = stage(placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))))
     large = placed.where("parts > 1")
     any_large = bool(large.head(1))
-    seats = placed.select("rep", "cluster", F.array("part").alias("at"), "sketch")
+    seats = placed.select("rep", "doc_id", "hash", "cluster", F.array("part").alias("at"), "sketch")
     if any_large:
         # Hubs: the members most like a random few.
         order = Window.partitionBy("cluster").orderBy(F.xxhash64("rep", F.lit(1)), "rep")
-        few = large.withColumn("__n", F.row_number().over(order)).where(f"__n <= {HUBS}").groupBy("cluster").agg(F.collect_list("sketch").alias("few"))
-        central = large.join(few, "cluster")
+        few = large.withColumn("__n", F.row_number().over(order)).where(f"__n <= {HUBS}")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            few_ = _Guides()
             for b in batches:
-                last, m, out = None, None, []
-                for c, s, few_ in zip(b.column("cluster").to_pylist(), b.column("sketch").to_pylist(), b.column("few"), strict=True):
-                    if c != last:
-                        last, m = c, _matrix(few_.as_py())
-                    out.append(int(np.count_nonzero(m == np.frombuffer(s, np.uint16))))
-                yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("rep"), b.column("parts"), pa.array(out, pa.int64())], names=["cluster", "rep", "parts", "like"])
-
-        central = central.select("cluster", "rep", "parts", "sketch", "few").mapInArrow(score, "cluster bigint, rep bigint, parts bigint, like bigint")
+                out: list = []
+                for cluster, part, kind, rep, sketch in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                    if not few_.take((cluster, part), kind, rep, sketch):
+                        out.append((cluster, rep, int(np.count_nonzero(few_.matrix == np.frombuffer(sketch, np.uint16)))))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["cluster", "rep", "like"])
+
+        central = _dealt(large, few, "cluster", "members").mapInArrow(score, "cluster bigint, rep bigint, like bigint")
         order = Window.partitionBy("cluster").orderBy(F.desc("like"), "rep")
         hubs = central.withColumn("__n", F.row_number().over(order)).where(f"__n <= {CHUNK_HUBS}").select("rep", F.lit(True).alias("hub"))
-        seats = placed.join(hubs, "rep", "left").select("rep", "cluster", F.when(F.col("hub"), F.expr("sequence(0, parts - 1)")).otherwise(F.array("part")).alias("at"), "sketch")
-    texts = docs.where("text is not null").join(seats.select(F.col("rep").alias("doc_id"), "cluster", "at", "sketch"), "doc_id").select(F.col("doc_id").alias("rep"), "cluster", "at", "sketch", "text")
+        seats = placed.join(hubs, "rep", "left").select("rep", "doc_id", "hash", "cluster", F.when(F.col("hub"), F.expr("sequence(0, parts - 1)")).otherwise(F.array("part")).alias("at"), "sketch")
+    texts = _texts(docs, seats)
     out = stage(_solve_groups(texts.withColumn("part", F.explode("at")).drop("at"), ["cluster", "part"], percent, size, least).distinct())
     names = components(out)
     if not any_large:
         return names
     # What is left of large clusters.
     found = names.select(F.col("id").alias("rep"), F.col("component").alias("label"))
-    left = large.select("rep", "cluster", "sketch", "members").join(found, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    left = stage(left)
-    groups = left.groupBy("cluster", "label").agg(F.count("*").alias("own")).groupBy("cluster").agg(F.max_by("label", F.struct("own", "label")).alias("main"), F.max("own").alias("in_main"), F.count("*").alias("groups")).where("groups > 1")
-    open_ = left.join(groups, "cluster").withColumn("first", F.col("label") != F.col("main"))
+    left = stage(large.select("rep", "doc_id", "hash", "cluster", "sketch", "members").join(found, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    groups = left.groupBy("cluster", "label").agg(F.count("*").alias("own")).groupBy("cluster").agg(
+        F.max_by("label", F.struct("own", "label")).alias("main"), F.max("own").alias("in_main"), F.count("*").alias("groups"), F.sum("own").alias("__n")
+    )
+    open_ = join_sized(left, groups.where("groups > 1"), "cluster", total).withColumn("first", F.col("label") != F.col("main"))
     open_ = open_.withColumn("blocks", F.ceil((F.col("members") - F.col("in_main")) / BLOCK)).withColumn("chunks", F.ceil(F.col("members") / BLOCK))
     open_ = stage(open_.drop("members"))
     if not open_.head(1):
         return names
     # A row outside the main component goes, as the first of a pair, to every chunk of its block; every row goes, as the second, to every block of its chunk.
-    seats = open_.select("rep", "cluster", "sketch", "label", "first", F.explode(F.when(F.col("first"), F.concat(
+    seats = open_.select("rep", "doc_id", "hash", "cluster", "sketch", "label", "first", F.explode(F.when(F.col("first"), F.concat(
         F.expr("transform(sequence(0, chunks - 1), c -> named_struct('block', pmod(xxhash64(rep, 2), blocks), 'chunk', c, 'first', true))"),
         F.expr("transform(sequence(0, blocks - 1), b -> named_struct('block', b, 'chunk', pmod(xxhash64(rep, 3), chunks), 'first', false))"),
     )).otherwise(F.expr("transform(sequence(0, blocks - 1), b -> named_struct('block', b, 'chunk', pmod(xxhash64(rep, 3), chunks), 'first', false))"))).alias("s"))
-    seats = seats.groupBy("rep", "cluster", "label", F.col("s.block").alias("block"), F.col("s.chunk").alias("chunk")).agg(F.max("s.first").alias("first"), F.first("sketch").alias("sketch"))
-    texts = seats.join(docs.where("text is not null").select(F.col("doc_id").alias("rep"), "text"), "rep")
-    more = _solve_groups(texts, ["cluster", "block", "chunk"], percent, size, least)
+    seats = seats.groupBy("rep", "doc_id", "hash", "cluster", "label", F.col("s.block").alias("block"), F.col("s.chunk").alias("chunk")).agg(F.max("s.first").alias("first"), F.first("sketch").alias("sketch"))
+    more = _solve_groups(_texts(docs, seats), ["cluster", "block", "chunk"], percent, size, least)
     return components(names.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percent: int = PERCENT, size: int = SIZE, keep_hash: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row (and ``hash``, xxhash64 of the text, if asked for).
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles (A-Z
     lower-cased); a shorter document is one shingle, and one without words or text links with nothing.
-    ``component_id`` is the least id reachable.  Rows of one id are one document for links.  A null id never
-    names a component: its row takes the component of an equal text, or null, and is not kept.  Ties need no rule:
-    the result does not depend on order.  An empty table gives no rows.
+    ``component_id`` is the least id reachable, of whatever type ids have.  Rows that share an id and not their words
+    are documents of their own.  A null id never names a component: its row takes the least id of those it is joined
+    with, or null, and is not kept.  Ties need no rule: the result does not depend on order.  An empty table gives no
+    rows.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage(signatures(docs, size))
-    # A class's rows agree in all but the id.
-    reps = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "roots", "sketch")))
-    reps = stage(reps.where("rep is not null"))
+    reps = representatives(signed)
     names = linked(docs, reps, candidates(reps, percent), percent, size)
-    classes = reps.select("cls", "rep").join(names.withColumnRenamed("id", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "cls").join(classes, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    )
+    # The least id of each component, then of each class.
+    ends = stage(names.select(F.col("id").alias("rep"), F.col("component").alias("a")).join(reps.select("rep", F.col("least_id").alias("b")), "rep"))
+    least = joined_least(ends, ends.count()).select("rep", F.col("m").alias("component"))
+    alone = reps.join(ends, "rep", "left_anti").select("rep", F.col("least_id").alias("component"))
+    classes = reps.select("rep", "cls", F.col("copies").alias("__n")).join(least.unionAll(alone), "rep").select("cls", "component", "__n")
+    out = join_sized(signed.select("doc_id", "hash", "n", "cls"), stage(classes), "cls", signed.count(), "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "hash")
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out if keep_hash else out.drop("hash")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,23 +91,52 @@ class TestNearDuplicates:
                     w[(17 * k + 31 * j) % 120] = f"e{g}x{k}x{j}"
                 rows.append((100 * g + k, " ".join(w)))
         docs = docs_of(spark, rows)
-        reps = neardup.signatures(docs.select("doc_id", "text")).groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "roots", "sketch")))
+        reps = neardup.representatives(neardup.signatures(docs.select("doc_id", "text")))
         edges = neardup.candidates(reps, node=6)
         names = {r.id: r.component for r in neardup.linked(docs, reps, edges).collect()}
         want = brute_components(rows)
-        rep = {r[0]: r[1] for r in reps.select("rep", "cls").collect()}
-        assert all(names.get(i, i) == want[i][1] for i in rep)
+        rep = {r.rep: r.least_id for r in reps.collect()}
+        made = {}
+        for k, i in rep.items():
+            made.setdefault(names.get(k, k), set()).add(i)
+        for group in made.values():
+            assert len({want[i][1] for i in group}) == 1
+        assert len(made) == len({c for _, c in want.values()})
 
     def test_null_ids_and_empty_table(self, spark):
         rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, "z z z")]
         got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
         assert got == {(None, 2, 3, False), (3, 2, 3, True), (None, 1, None, False)}
+        shared = [(5, words(80, 70)), (5, words(80, 71)), (3, words(80, 71) + " tail"), (9, words(80, 70))]
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs_of(spark, shared)).collect())
+        assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False)]
+        named = spark.createDataFrame([("b", "one two"), ("a", "One  two"), ("c", "three")], "doc_id string, text string")
+        assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(named).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
         assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
 
     def test_components(self, spark):
         edges = [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 7), (6, 6), (None, 3)] + [(k, 100) for k in range(101, 160)]
         got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
         assert got == {**{k: 1 for k in range(1, 6)}, **{k: 7 for k in (7, 8, 9)}, **{k: 100 for k in range(100, 160)}}
+        star = spark.range(1, 3000).selectExpr("0L as a", "id as b").unionAll(spark.range(5000, 9000).selectExpr("id as a", "id + 1 as b"))
+        got = components.components(star).groupBy("component").count().collect()
+        assert {(r.component, r["count"]) for r in got} == {(0, 3000), (5000, 4001)}
+        with pytest.raises(RuntimeError):
+            components.components(star, max_rounds=1)
+
+    def test_a_member_keeps_its_link_to_every_hub_that_is_not_joined(self, spark):
+        r = np.random.default_rng(1)
+        member = r.integers(0, 1 << 16, neardup.SKETCH).astype(np.uint16)
+        rows = []
+        for h in range(6):
+            own = r.integers(0, 1 << 16, neardup.SKETCH).astype(np.uint16)
+            at = r.permutation(neardup.SKETCH)[:41]
+            own[at] = member[at]
+            rows.append((1, 50 + h, own.tobytes()))
+        hubs = spark.createDataFrame([(*x, 7) for x in rows], "node bigint, rep bigint, sketch binary, size bigint")
+        whole = hubs.unionAll(spark.createDataFrame([(1, 9, member.tobytes(), 7)], hubs.schema))
+        got = neardup._branch(neardup._dealt(whole, hubs, "node", "size"), 40, 52, 0, 85).where("b is not null").collect()
+        assert {(x.a, x.b) for x in got} == {(9, 50 + h) for h in range(6)}
 
 
 class TestFingerprints:
