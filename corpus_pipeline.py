@@ -17,9 +17,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, that of the least id; rows that repeat an id count once, rows without one stay."""
-    gone = neardup.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """One document of each component of near copies, that of the least id.
+
+    Rows that share an id and not their words are documents of their own.  Rows that repeat both id and text count
+    once, that of the least other columns.  Rows without an id stay.
+    """
+    found = neardup.near_duplicates(docs, keep_hash=True)
+    gone = found.where("not kept and doc_id is not null").select("doc_id", F.col("hash").alias("__hash")).distinct()
+    kept = docs.where("doc_id is not null").withColumn("__hash", F.xxhash64("text")).join(gone, ["doc_id", "__hash"], "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = kept.groupBy("doc_id", "__hash", "text").agg(F.min(F.struct(*others)).alias("__row")).select("doc_id", "text", "__row.*")
     return kept.select(*docs.columns).unionAll(docs.where("doc_id is null"))
 
 
