@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -443,6 +444,86 @@ class TestMaxEnt:
         assert abs(p.sum() - 1) < 1e-5
         assert abs(np.exp(maxent.log_probs(model.weights, model.bias, rows, np.array([7]))[0]) - p[0, 7]) < 1e-5
 
+    def test_training_against_brute_force(self, spark, sf_dir):
+        texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(25).collect()] + [None, "", "a " * 30]
+        df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+        model, _ = maxent.train(df)
+        tokens = [maxent.Tokens(pa.array([t or ""])) for t in texts]
+        cls = [[next((k for k, h in enumerate(model.classes.single.tolist()) if h == x), None) for x in t.hash.tolist()] for t in tokens]
+        cls = [[maxent.SINGLE + int(model.classes.cluster[e]) if c is None else c for c, e in zip(own, t.ending.tolist(), strict=True)] for own, t in zip(cls, tokens, strict=True)]
+        edge, width = maxent.CLASSES, maxent.CLASSES + 1
+        feats, gold = [], []
+        for own, t in zip(cls, tokens, strict=True):
+            word = [int(x) >> 51 for x in maxent.mix(t.hash)]
+            for i, c in enumerate(own):
+                back = lambda k: own[i - k] if i >= k else edge  # noqa: B023, E731
+                far = lambda k: word[i - k] if i >= k else int(maxent.BEGIN) % maxent.WORD_ROWS  # noqa: B023, E731
+                at = [far(1), back(1) * width + back(2), far(2), back(3) * width + back(4)]
+                feats.append([(f, r) for f, r in enumerate(at)])
+                gold.append(c)
+        n = Counter(gold)
+        prior = np.array([n[k] + 1 for k in range(edge)], float)
+        bias = np.log(prior / prior.sum())
+        weights, losses = {}, []
+        for _ in range(2):
+            squares, loss = {}, 0.0
+            for lo in range(0, len(gold), maxent.STEP):
+                slopes = {}
+                for f, c in zip(feats[lo : lo + maxent.STEP], gold[lo : lo + maxent.STEP], strict=True):
+                    z = bias + sum(weights.get(x, 0.0) for x in f)
+                    e = np.exp(z) / np.exp(z).sum()
+                    loss -= math.log(e[c])
+                    e[c] -= 1
+                    for x in f:
+                        slopes[x] = slopes.get(x, 0.0) + e
+                for x, g in slopes.items():
+                    squares[x] = squares.get(x, 1.0) + g * g
+                    weights[x] = weights.get(x, 0.0) - maxent.RATE * g / np.sqrt(squares[x])
+            losses.append(loss / len(gold))
+        assert len(gold) > 2 * maxent.STEP and np.allclose(losses, model.losses, rtol=1e-4)
+        start = np.cumsum([0, *maxent.SHAPE])
+        got = {(f, r - start[f]): model.weights[r] for f in range(4) for r in range(start[f], start[f + 1]) if np.abs(model.weights[r]).max() > 0}
+        assert set(got) == set(weights) and all(np.allclose(got[x], weights[x], atol=2e-3) for x in weights)
+        seen = maxent.company(df.repartition(3))
+        want = Counter()
+        for t in tokens:
+            e, c = t.ending.tolist(), t.company.tolist()
+            for i in range(len(e)):
+                want[e[i], c[i - 1] if i else maxent.COMPANY - 1] += 1
+                want[e[i], maxent.COMPANY + (c[i + 1] if i + 1 < len(c) else maxent.COMPANY - 1)] += 1
+        assert {(int(i), int(j)): int(seen[i, j]) for i, j in zip(*np.nonzero(seen), strict=True)} == dict(want)
+
+    def test_updates_carry_the_score(self, spark, sf_dir):
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(3)
+        part, unseen = docs.where("doc_id % 5 <> 1"), docs.where("doc_id % 5 = 1")
+        means = []
+        for rounds in (0, 1, 3):
+            model, counts = maxent.train(part, rounds=rounds)
+            r = maxent.score(unseen, model, counts).agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+            means.append(r[0])
+            assert all(a > b for a, b in zip(model.losses, model.losses[1:], strict=False))
+        assert abs(means[0] - r[1]) < 0.05 and means[1] > means[0] + 0.2 and means[2] > means[0] + 0.25
+
+    def test_odd_rows(self, spark):
+        long_ = words(120_000, 5)
+        rows = [(1, "a b c d"), (1, "a b c d"), (1, "other words"), (None, "a b c d"), (2, None), (3, ""), (4, long_), (5, "new unseen")]
+        docs = docs_of(spark, rows).withColumn("Score", F.lit("clash")).withColumn("n_tokens", F.lit(-1))
+        model, counts = maxent.train(docs.where("doc_id <> 5 or doc_id is null"))
+        for sent in (1 << 17, 3):
+            got = sorted(((r.doc_id or 0, r.n_tokens, r.n_known), r.score, r.base_score) for r in maxent.score(docs, model, counts, sent=sent).collect())
+            assert [g[0] for g in got] == [(0, 5, 5), (1, 3, 3), (1, 5, 5), (1, 5, 5), (2, 1, 1), (3, 1, 1), (4, 120_001, 120_001), (5, 3, 1)]
+            assert got[0][1:] == got[2][1:] == got[3][1:] and got[4][1:] == got[5][1:] and all(g[1] < 0 for g in got)
+        model, counts = maxent.train(docs.where("false"))
+        got = maxent.score(docs, model, counts).collect()
+        assert len(got) == 8 and all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in got)
+        assert maxent.score(docs.where("false"), model, counts).count() == 0
+
+    def test_sums_go_in_two_levels(self, spark, monkeypatch):
+        monkeypatch.setattr(maxent, "FAN", 3)
+        rows = [(t, b, np.full(3, t + b, np.float32).tobytes()) for t in range(10) for b in range(maxent.BLOCKS)]
+        got = maxent._summed(spark.createDataFrame(rows, maxent.PAYLOAD), (maxent.BLOCKS, 3))
+        assert (got == (45 + 10 * np.arange(maxent.BLOCKS))[:, None]).all()
+
 
 class TestQuality:
     def test_model_sums_to_one_and_paths_agree(self, spark, sf_dir):
