@@ -7,14 +7,16 @@ order, are sent to the scoring tasks; what these cannot settle is counted by doc
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm.common import STEP_BYTES, id_crc, mix, plain, slices, stage, table
 
@@ -27,8 +29,6 @@ BROADCAST_IDS = 1 << 20
 LOW, HIGH = 0.001, 0.995
 #: One trusted document in so many sets the quantiles and is not trained on: a model likes its own training text too well.
 CALIBRATE = 5
-#: Part of a quantile by which a document may lie beyond it: quantiles of few documents are rough.
-SLACK = 0.1
 BEGIN, END = "\x02", "\x03"
 _A = np.random.default_rng(7).integers(1, 1 << 63, ORDER + 1, dtype=np.uint64) | np.uint64(1)
 
@@ -203,18 +203,25 @@ def log_probs(points: np.ndarray, at: np.ndarray, tables: dict, order: int) -> t
     return value, known
 
 
-def score(docs: DataFrame, model: DataFrame, *, id_col="doc_id", text_col="text", order: int = ORDER, sent: int = SENT) -> DataFrame:
-    """``doc`` (the id), ``row`` (a row's own number), ``log_prob`` (natural) and ``n_symbols`` of whole texts, the end included."""
+def score(docs: DataFrame, model: DataFrame, *, text_col="text", keep: Sequence[str] = ("doc_id",), order: int = ORDER, sent: int = SENT) -> DataFrame:
+    """The columns to ``keep``, ``log_prob`` (natural) and ``n_symbols`` of whole texts, the end included.
+
+    What the sent tables leave open is joined back by a number that each row gets when it is first scored and that is
+    staged with it, so rows of one id, or of none, stay apart.
+    """
     spark = docs.sparkSession
     tables, key = spark.sparkContext.broadcast(_send(model, order, sent)), uuid.uuid4().hex
     whole = all(t[1] for k, t in tables.value.items() if k != "u")
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    schema = T.StructType([rows.schema["doc"], *T.StructType.fromDDL("row bigint, log_prob double, n_symbols bigint, gram string, tf bigint").fields])
+    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    kept = rows.schema.fields[:-1]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), *T.StructType.fromDDL("__row bigint, log_prob double, n_symbols bigint, __gram string, __tf bigint").fields])
+    nothing = [pa.field(f.name, t) for f, t in zip(kept, to_arrow_schema(T.StructType(kept)).types, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tables.value
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for b in batches:
-            texts = plain(b.column(0 + 1))
+            texts = plain(b.column(len(kept)))
             for lo, hi in slices(texts, STEP_BYTES // 2):
                 points, first = symbols(texts.slice(lo, hi - lo).to_pylist(), order)
                 at = np.delete(np.arange(len(points)), (first[:-1, None] + np.arange(order - 1)).ravel())
@@ -222,9 +229,9 @@ def score(docs: DataFrame, model: DataFrame, *, id_col="doc_id", text_col="text"
                 n = np.diff(first) - (order - 1)
                 doc = np.repeat(np.arange(hi - lo), n)
                 total = np.bincount(doc, weights=np.where(known, value, 0.0), minlength=hi - lo)
-                ids = b.column(0).slice(lo, hi - lo)
-                none = pa.nulls(hi - lo, pa.string())
-                yield pa.RecordBatch.from_arrays([ids, pa.nulls(hi - lo, pa.int64()), pa.array(total), pa.array(n, pa.int64()), none, pa.nulls(hi - lo, pa.int64())], names=schema.fieldNames())
+                m = hi - lo
+                own = [b.column(k).slice(lo, m) for k in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(row, row + m)), pa.array(total), pa.array(n, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names=schema.fieldNames())
                 rest = np.flatnonzero(~known)
                 if len(rest):
                     grams = np.lib.stride_tricks.sliding_window_view(points, order)[at[rest] - order + 1]
@@ -233,59 +240,62 @@ def score(docs: DataFrame, model: DataFrame, *, id_col="doc_id", text_col="text"
                     flat = np.frombuffer(seen.tobytes(), "<u4").reshape(-1, order + 1)
                     text = [g.tobytes().decode("utf-32-le", "surrogatepass") for g in flat[:, 1:]]
                     m = len(flat)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(flat[:, 0].astype(np.int64))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), pa.array(text, pa.string()), pa.array(tf, pa.int64())], names=schema.fieldNames())
+                    none = [pa.nulls(m, f.type) for f in nothing]
+                    yield pa.RecordBatch.from_arrays([*none, pa.array(row + flat[:, 0].astype(np.int64)), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), pa.array(text, pa.string()), pa.array(tf, pa.int64())], names=schema.fieldNames())
+                row += hi - lo
 
     got = rows.mapInArrow(run, schema)
+    out = [*keep, "log_prob", "n_symbols"]
     if whole:
-        return got.select("doc", "log_prob", "n_symbols")
+        return got.select(*out)
     got = stage(got)
     # Each n-gram that the sent tables left open is settled once, against the sharded tables.
     p = model.where("kind = 'p'").select(F.col("n").alias("pn"), F.col("gram").alias("pg"), F.col("value").alias("pv"))
     g = model.where("kind = 'g'").select(F.col("n").alias("gn"), F.col("gram").alias("gg"), F.col("value").alias("gv"))
-    open_ = got.where("gram is not null").select("gram").distinct()
-    asked = open_.select("gram", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
+    late = got.where("__gram is not null").select("__row", F.col("__gram").alias("gram"), F.col("__tf").alias("tf"))
+    asked = late.select("gram").distinct().select("gram", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
     asked = asked.withColumn("tail", F.expr("right(gram, n)")).withColumn("ctx", F.expr(f"substring(gram, {order + 1} - n, n - 1)"))
     asked = asked.join(p, (F.col("n") == F.col("pn")) & (F.col("tail") == F.col("pg")), "left").join(g, (F.col("n") == F.col("gn")) & (F.col("ctx") == F.col("gg")), "left")
     found = asked.groupBy("gram").agg(F.max(F.when(F.col("pv").isNotNull(), F.struct("n", "pv"))).alias("top"), F.collect_list(F.when(F.col("gv").isNotNull(), F.struct("n", "gv"))).alias("gs"))
     floor = float(tables.value["u"])
     settled = found.select("gram", (F.coalesce("top.pv", F.lit(floor)) + F.expr("aggregate(gs, 0D, (s, x) -> if(x.n > coalesce(top.n, 0), s + x.gv, s))")).alias("lp"))
-    late = got.where("gram is not null").join(settled, "gram").groupBy("doc").agg(F.sum(F.col("lp") * F.col("tf")).alias("late"))
-    return got.where("gram is null").join(late, "doc", "left").select("doc", (F.col("log_prob") + F.coalesce("late", F.lit(0.0))).alias("log_prob"), "n_symbols")
+    late = late.join(settled, "gram").groupBy("__row").agg(F.sum(F.col("lp") * F.col("tf")).alias("__late"))
+    got = got.where("__gram is null").join(late, "__row", "left")
+    return got.withColumn("log_prob", F.col("log_prob") + F.coalesce("__late", F.lit(0.0))).select(*out)
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", quality_col="quality", order=ORDER, sent=SENT, low=LOW, high=HIGH,
-    calibrate=CALIBRATE, slack=SLACK, broadcast_ids=BROADCAST_IDS,
+    calibrate=CALIBRATE, broadcast_ids=BROADCAST_IDS,
 ) -> DataFrame:
     """Perplexity of each whole document and whether it lies between its language's quantiles of trusted documents.
 
     Returns a row per input row: id, lang, ``log_prob``, ``n_symbols``, ``perplexity`` (by symbol), ``low``, ``high`` and ``keep``.
     Trusted documents are those that some row of ``labels`` gives quality 1; one in ``calibrate`` of them, by crc32 of the
-    id, sets the quantiles and the others train the model.  A document is kept within ``slack`` of the thresholds.  A null text is empty: its end alone is
-    scored.  A null language counts as ``und``; a language without trusted documents takes the quantiles of all of them;
-    without any trusted text every document is kept and thresholds are null.  Rows of one id are scored each, except
-    that open n-grams are summed by id.
+    id, sets the quantiles and the others train the model.  A document at a threshold is kept.  A null text is empty:
+    its end alone is scored.  A null language counts as ``und``; a language without trusted documents takes the
+    quantiles of all of them; without any trusted text every document is kept and thresholds are null.  Rows that
+    share an id, or have none, are each scored by themselves, whatever their number; a null id is never trusted.
+    Columns of other names are not read.
     """
     spark = docs.sparkSession
     good = labels.where(F.col(quality_col) == 1).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
     small = good.count() <= broadcast_ids
-    text = docs.select(F.col(id_col).alias("__own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    trusted = text.where(id_crc("__own") % calibrate != 0).join(F.broadcast(good) if small else good, F.col("__own") == F.col("__id"), "left_semi")
-    model = train(trusted.select("text"), order=order)
-    got = stage(score(docs, model, id_col=id_col, text_col=text_col, order=order, sent=sent))
+    semi = lambda rows: rows.join(F.broadcast(good) if small else good, F.col("__own") == F.col("__id"), "left_semi")
+    rows = docs.select(F.col(id_col).alias("__own"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    model = train(semi(rows.where(id_crc("__own") % calibrate != 0)).select("text"), order=order)
+    got = stage(score(rows, model, keep=["__own", "lang"], order=order, sent=sent))
     got = got.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_symbols")))
-    langs = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")).distinct().groupBy("doc").agg(F.min("lang").alias("lang"))
-    got = got.join(langs, "doc", "left").withColumn("lang", F.coalesce("lang", F.lit("und")))
-    known = got.where(id_crc("doc") % calibrate == 0).join(F.broadcast(good) if small else good, F.col("doc") == F.col("__id"), "left_semi")
+    known = semi(got.where(id_crc("__own") % calibrate == 0))
     cut = known.groupBy("lang").agg(F.percentile_approx("perplexity", [low, high], 10000).alias("q"))
     # A row per language, and one for all.
     cuts = {r.lang: r.q for r in cut.collect()}
     every = known.agg(F.percentile_approx("perplexity", [low, high], 10000)).first()[0] or [None, None]
-    rows = spark.createDataFrame([(k, float(v[0]), float(v[1])) for k, v in cuts.items()], "lang string, low double, high double")
+    table_ = spark.createDataFrame([(k, float(v[0]), float(v[1])) for k, v in cuts.items()], "lang string, low double, high double")
     lit = lambda v: F.lit(v).cast("double")
-    out = got.join(F.broadcast(rows), "lang", "left").withColumn("low", F.coalesce("low", lit(every[0]))).withColumn("high", F.coalesce("high", lit(every[1])))
-    keep = F.coalesce((F.col("perplexity") >= F.col("low") * (1 - slack)) & (F.col("perplexity") <= F.col("high") * (1 + slack)), F.lit(True))
-    return out.select(F.col("doc").alias(id_col), "lang", "log_prob", "n_symbols", "perplexity", "low", "high", keep.alias("keep"))
+    out = got.join(F.broadcast(table_), "lang", "left").withColumn("low", F.coalesce("low", lit(every[0]))).withColumn("high", F.coalesce("high", lit(every[1])))
+    keep = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    return out.select(F.col("__own").alias(id_col), "lang", "log_prob", "n_symbols", "perplexity", "low", "high", keep.alias("keep"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

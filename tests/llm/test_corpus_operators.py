@@ -553,6 +553,72 @@ class TestQuality:
         b = {r.doc_id: r for r in quality.classify(small, labels, sent=300, broadcast_ids=0).collect()}
         assert len(a) == 80 and all(abs(a[i].log_prob - b[i].log_prob) < 1e-4 * abs(a[i].log_prob) for i in a)
 
+    def test_perplexity_and_thresholds_against_brute_force(self, spark):
+        order = 3
+        rows = [(k, words(30, 300 + k, "q"), "en" if k % 3 else "fr") for k in range(40)] + [(50, "zz | zz", "en"), (51, "x" * 5000, "fr"), (52, "q17 q33", "xx"), (53, None, None)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+        labels = spark.createDataFrame([(k, 1, "c") for k in range(40)] + [(50, 0, "c"), (1, 0, "c")], "doc_id bigint, quality int, lang string")
+        crc = lambda k: zlib.crc32(str(k).encode()) % 5
+        pad = lambda t: "\x02" * (order - 1) + (t or "") + "\x03"
+        counts = {order: Counter()}
+        for k, t, _ in rows[:40]:
+            if crc(k):
+                s = pad(t)
+                counts[order].update(s[i - order + 1 : i + 1] for i in range(order - 1, len(s)))
+        for n in range(order - 1, 0, -1):
+            counts[n] = Counter(g[1:] for g in counts[n + 1])
+        floor = 1 / (len(counts[1]) + 1)
+        off = {}
+        for n, c in counts.items():
+            t = Counter(c.values())
+            y = t[1] / (t[1] + 2 * t[2]) if t[1] and t[2] else 0.5
+            off[n] = [min(k - 0.01, max(0.01, k - (k + 1) * y * t[k + 1] / t[k])) if t[k] and t[k + 1] else k * 0.5 for k in (1, 2, 3)]
+
+        def prob(g):
+            if not g:
+                return floor
+            n = len(g)
+            after = {x: c for x, c in counts[n].items() if x[:-1] == g[:-1]}
+            if not after:
+                return prob(g[1:])
+            total, d = sum(after.values()), off[n]
+            left = sum(d[min(c, 3) - 1] for c in after.values())
+            own = after[g] - d[min(after[g], 3) - 1] if g in after else 0.0
+            return (own + left * prob(g[1:])) / total
+
+        memo = {}
+
+        def log_prob(t):
+            s = pad(t)
+            return sum(memo.setdefault(g, math.log(prob(g))) for g in (s[i - order + 1 : i + 1] for i in range(order - 1, len(s))))
+
+        want = {k: log_prob(t) for k, t, _ in rows}
+        ppl = {k: math.exp(-want[k] / (len(t or "") + 1)) for k, t, _ in rows}
+        for sent in (10, 1 << 18):
+            got = {r.doc_id: r for r in quality.classify(docs, labels, order=order, sent=sent).collect()}
+            for k, _, lang in rows:
+                r = got[k]
+                assert abs(r.log_prob - want[k]) < 1e-3 * abs(want[k]) and r.lang == (lang or "und")
+                held = sorted(ppl[j] for j, _, x in rows[:40] if not crc(j) and (x == lang or lang not in ("en", "fr")))
+                assert abs(r.low - held[0]) < 1e-3 * r.low and abs(r.high - held[-1]) < 1e-3 * r.high
+                assert r.keep == (r.low <= r.perplexity <= r.high)
+
+    def test_repeated_and_null_ids_score_alike(self, spark):
+        text = words(25, 8, "r")
+        long_ = words(60_000, 12, "r")
+        rows = [(901, text, "en"), (901, text, "en"), (901, "other", "fr"), (None, text, "de"), (902, long_, "en")] + [(k, words(20, k, "r"), "en") for k in range(30)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("Perplexity", F.lit("clash")).repartition(3)
+        labels = spark.createDataFrame([(k, 1) for k in range(30)] + [(None, 1)], "doc_id bigint, quality int")
+        found = []
+        for sent in (50, 1 << 18):
+            got = quality.classify(docs, labels, sent=sent).collect()
+            same = [r for r in got if r.n_symbols == len(text) + 1 and r.doc_id in (901, None)]
+            assert len(got) == len(rows) and sorted(r.lang for r in same) == ["de", "en", "en"]
+            assert max(r.log_prob for r in same) - min(r.log_prob for r in same) < 1e-6
+            found.append(sorted((r.doc_id or 0, r.lang, r.n_symbols, r.log_prob) for r in got))
+        assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-4 * abs(b[3]) for a, b in zip(*found, strict=True))
+        assert quality.classify(docs.where("false"), labels).count() == 0 and quality.classify(docs, labels.where("false")).where("keep").count() == len(rows)
+
     def test_nulls_and_nothing_trusted(self, spark):
         docs = docs_of(spark, [(1, None), (2, ""), (3, "some text here"), (None, "no id")])
         labels = spark.createDataFrame([(3, None), (None, 1)], "doc_id bigint, quality int")
