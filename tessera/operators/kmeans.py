@@ -276,7 +276,9 @@ def gossip_merge(
             for peer in rng.sample(others, min(fanout, len(others))):
                 now[s] = weighted([(now[s], mass[s]), (align(now[s], now[peer]), mass[peer])])
                 mass[s] += mass[peer]
-        drift = max(float(np.linalg.norm(align(old[s], now[s]) - old[s], axis=1).max()) for s in now)
+        # Both sides are matched to the first shard's centres before the round.
+        first = old[next(iter(old))]
+        drift = max(float(np.linalg.norm(align(first, now[s]) - align(first, old[s]), axis=1).max()) for s in now)
         log.append({"round": r, "fanout": fanout, "max_drift": drift})
         if drift < threshold:
             converged = True

@@ -7,7 +7,7 @@ weights; shards' solvers run in step on the driver, which holds only a few numbe
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -79,38 +79,57 @@ def moments(points: DataFrame, features: Sequence[str], floor: float = 1e-8) ->
     return out
 
 
-def standardise(points: DataFrame, features: Sequence[str], by: dict[str, tuple[float, float]]) -> DataFrame:
+def standardised(points: DataFrame, features: Sequence[str], by: dict[str, tuple[float, float]]) -> DataFrame:
     return points.withColumns({f: (F.col(f) - by[f][0]) / by[f][1] for f in features})
 
 
-def local_solve(points, features, label, models, reg, steps, shard, solver: str, rate: float) -> tuple[dict[int, np.ndarray], dict[int, Stats], dict[int, Trace]]:
-    """Every shard's solver in step, warm-started: ``lbfgs`` with at most ``steps`` iterations, or ``gd`` steps."""
+def deviations(points: DataFrame, features: Sequence[str], shard: str) -> dict[int, np.ndarray]:
+    """Sample standard deviations of each shard's features; one that is 0 or missing counts as 1."""
+    rows = points.groupBy(F.col(shard).cast("bigint").alias("__s")).agg(*(F.stddev_samp(f).alias(f"d{i}") for i, f in enumerate(features))).collect()
+    return {r["__s"]: np.array([r[f"d{i}"] or 1.0 for i in range(len(features))] + [1.0]) for r in rows}
+
+
+def local_solve(points, features, label, models, reg, steps, shard, solver: str, rate: float, scales: dict[int, np.ndarray] | None = None) -> tuple[dict[int, np.ndarray], dict[int, Stats], dict[int, Trace]]:
+    """Every shard's solver in step, warm-started: ``lbfgs`` with at most ``steps`` iterations, or ``gd`` steps.
+
+    With ``scales`` a shard is solved as if its features were divided by its own: the penalty and the steps are those
+    of the scaled problem, and models go in and come out in the features' own units.
+    """
     traces = {s: Trace() for s in models}
+    unit = np.ones(len(features) + 1)
+    by = {s: (scales or {}).get(s, unit) for s in models}
+    inner = {s: m * by[s] for s, m in models.items()}
+
+    def ask(at: dict[int, np.ndarray]) -> dict[int, Stats]:
+        return shard_stats(points, features, label, {s: u / by[s] for s, u in at.items()}, shard)
+
+    def told(stats: Stats, s: int, u: np.ndarray) -> tuple[float, np.ndarray]:
+        return regularised(Stats(stats.n, stats.loss, stats.gradient / by[s], stats.correct), u, reg)
+
+    first = None
     if solver == "gd":
-        first = None
         for _ in range(steps):
-            stats = shard_stats(points, features, label, models, shard)
+            stats = ask(inner)
             first = first or stats
             new = {}
-            for s, m in models.items():
-                loss, g = regularised(stats[s], m, reg)
+            for s, u in inner.items():
+                loss, g = told(stats[s], s, u)
                 traces[s].losses.append(loss)
-                new[s] = m - rate * g
-            models = new
-        return models, first, traces
-    runs = {s: minimise(m, steps, traces[s]) for s, m in models.items()}
+                new[s] = u - rate * g
+            inner = new
+        return {s: u / by[s] for s, u in inner.items()}, first, traces
+    runs = {s: minimise(u, steps, traces[s]) for s, u in inner.items()}
     asked = {s: next(r) for s, r in runs.items()}
     out: dict[int, np.ndarray] = {}
-    first = None
     while asked:
-        stats = shard_stats(points, features, label, asked, shard)
+        stats = ask(asked)
         first = first or stats
         following = {}
         for s, x in asked.items():
             try:
-                following[s] = runs[s].send(regularised(stats[s], x, reg))
+                following[s] = runs[s].send(told(stats[s], s, x))
             except StopIteration as e:
-                out[s] = e.value
+                out[s] = e.value / by[s]
         asked = following
     return out, first, traces
 
@@ -125,6 +144,8 @@ class Result:
     rounds: int
     converged: bool
     log: list[dict] = field(default_factory=list)
+    #: Mean and deviation of each feature where weights are those of standardised features.
+    moments: dict[str, tuple[float, float]] | None = None
 
 
 def converged(now: float, before: float | None, tol: float) -> bool:
@@ -136,22 +157,32 @@ def fit(
     points: DataFrame, features: Sequence[str], label: str = "label", mode: str | None = None, *, shard: str = "shard", rounds: int = 10, local_steps: int = 5, reg: float = 0.01,
     tol: float = 1e-4, solver: str = "lbfgs", rate: float = 0.5, fanout: int | None = None, server_rate: float = 0.5, damping: bool = True, arrivals: Sequence[int] | None = None,
     warm_start: bool = True, epochs: int = 30, epoch_rate: float = 0.01, freeze_tol: float = 0.0, start: np.ndarray | None = None,
+    standardise: bool | None = None,
 ) -> Result:
     """Logistic regression under a sync mode; loss and accuracy are those of the returned model over all points.
 
     The exact mode takes ``epochs`` single gradient steps with a cosine rate and no intercept; its gradients are means
-    over shards, each shard alike.  Points should be cached by the caller.
+    over shards, each shard alike.  Independent shards solve the same problem in every round, so it is solved once.
+    Unless ``standardise`` says otherwise, the exact mode takes features less their means by their deviations over all
+    points (its weights are those of such features, by ``Result.moments``), the independent and the queue mode solve a
+    shard by its own deviations as MLlib does (weights in the features' own units), and the others take features as
+    they are.  Points should be cached by the caller.
     """
     mode = sync_modes.normalise(mode)
+    if standardise is None:
+        standardise = mode in (sync_modes.ALLREDUCE, sync_modes.NONE, sync_modes.QUEUE)
     d = len(features)
     model = np.zeros(d + 1) if start is None else np.asarray(start, float).copy()
     if mode == sync_modes.ALLREDUCE:
-        return _allreduce(points, features, label, shard, model, epochs, epoch_rate, reg, tol)
+        by = moments(points, features) if standardise else None
+        whole = standardised(points, features, by) if by else points
+        return replace(_allreduce(whole, features, label, shard, model, epochs, epoch_rate, reg, tol), moments=by)
     shards = sorted(r[0] for r in points.select(F.col(shard).cast("bigint")).distinct().collect())
     if not shards:
         raise RuntimeError("no usable rows")
     models, log, stop, before, used, rows = {s: model.copy() for s in shards}, [], False, None, 0, {}
-    solve = lambda part, m: local_solve(part, features, label, m, reg, local_steps, shard, solver, rate)
+    scales = deviations(points, features, shard) if standardise else None
+    solve = lambda part, m: local_solve(part, features, label, m, reg, local_steps, shard, solver, rate, scales)
     if mode == sync_modes.ASYNC:
         served, version, base = model.copy(), 0, dict.fromkeys(shards, 0)
         turns = list(arrivals) if arrivals is not None else [s for _ in range(rounds) for s in shards]
@@ -165,6 +196,9 @@ def fit(
     else:
         frozen: dict[int, bool] = dict.fromkeys(shards, False)
         for used in range(1, rounds + 1):
+            if mode == sync_modes.NONE and used > 1:
+                log.append(log[0] | {"round": used, "evaluations": 0})
+                continue
             entering = models if warm_start and mode != sync_modes.NONE else {s: model.copy() for s in shards}
             going = {s: m for s, m in entering.items() if not frozen[s]}
             local, stats, traces = solve(points, going) if going else ({}, {}, {})

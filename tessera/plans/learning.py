@@ -323,6 +323,13 @@ def _sgd_sql(epochs: int, rate: float, reg: float) -> str:
 
 @query(_sgd_sql(3, 0.5, 0.01))
 def logreg_sgd_t3(spark, sf):
+    r = logreg.fit(scaled(spark, sf), POINT_FEATURES, mode="allreduce_mpi", epochs=3, epoch_rate=0.5, reg=0.01, tol=0.0, standardise=False)
+    return spark.createDataFrame([tuple(float(x) for x in r.weights)], "w0 double, w1 double, w2 double, w3 double").select(*(F.round(f"w{i}", 6).alias(f"w{i}") for i in range(4)))
+
+
+@query(_sgd_sql(3, 0.5, 0.01).replace("w0 AS (SELECT 0.0 AS a0", "r AS (SELECT * FROM q), mo AS (SELECT " + ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS d{i}" for i in range(4)) + " FROM r), q2 AS (SELECT shard, label, " + ", ".join(f"(f{i} - m{i}) / d{i} AS f{i}" for i in range(4)) + " FROM r, mo), w0 AS (SELECT 0.0 AS a0", 1).replace("FROM q, w", "FROM q2, w"))
+def logreg_sgd_std_t3(spark, sf):
+    """The exact mode as it is by default: features standardised by their global moments."""
     r = logreg.fit(scaled(spark, sf), POINT_FEATURES, mode="allreduce_mpi", epochs=3, epoch_rate=0.5, reg=0.01, tol=0.0)
     return spark.createDataFrame([tuple(float(x) for x in r.weights)], "w0 double, w1 double, w2 double, w3 double").select(*(F.round(f"w{i}", 6).alias(f"w{i}") for i in range(4)))
 
@@ -333,8 +340,8 @@ lm AS (SELECT shard, n, """ + ", ".join(f"{WEIGHTS[i]} - 0.5 * (g{i} + 0.01 * {W
 _MEANS = ", ".join(f"round(sum(w{i} * n) / sum(n), 6) AS w{i}" for i in range(5))
 
 
-def _fit(spark, sf, mode, **more):
-    return logreg.fit(scaled(spark, sf), POINT_FEATURES, mode=mode, rounds=1, local_steps=1, solver="gd", rate=0.5, reg=0.01, start=np.array([*WEIGHTS, INTERCEPT]), **more)
+def _fit(spark, sf, mode, rounds=1, standardise=False, **more):
+    return logreg.fit(scaled(spark, sf), POINT_FEATURES, mode=mode, rounds=rounds, local_steps=1, solver="gd", rate=0.5, reg=0.01, start=np.array([*WEIGHTS, INTERCEPT]), standardise=standardise, **more)
 
 
 def _model(spark, r):
@@ -362,6 +369,21 @@ def logreg_nosync_merge(spark, sf):
     return _model(spark, _fit(spark, sf, "none"))
 
 
+# The same step in a shard whose features are divided by their sample deviations in it, back in their own units.
+_STEP_STD = f"""st AS (SELECT shard, count(*) AS n, {_grads(_z())}, """ + ", ".join(f"stddev_samp(f{i}) AS d{i}" for i in range(4)) + """ FROM q GROUP BY shard),
+lm AS (SELECT shard, n, """ + ", ".join(f"{WEIGHTS[i]} - 0.5 * (g{i} / (d{i} * d{i}) + 0.01 * {WEIGHTS[i]}) AS w{i}" for i in range(4)) + f", {INTERCEPT} - 0.5 * g4 AS w4 FROM st)"
+
+
+@query(f"WITH {SCALED}, {_STEP_STD} SELECT {_MEANS} FROM lm")
+def logreg_none_std(spark, sf):
+    return _model(spark, _fit(spark, sf, "none", rounds=3, standardise=None))
+
+
+@query(f"WITH {SCALED}, {_STEP_STD} SELECT {_MEANS} FROM lm")
+def logreg_queue_std(spark, sf):
+    return _model(spark, _fit(spark, sf, "queue", standardise=None))
+
+
 @query(
     f"WITH {SCALED}, {_STEP}, mx AS (SELECT a.shard, a.n, " + ", ".join(f"sum(b.w{i} * b.n) / sum(b.n) AS w{i}" for i in range(5))
     + f" FROM lm a JOIN lm b ON (b.shard - a.shard + 4) % 4 IN (0, 1, 3) GROUP BY a.shard, a.n) SELECT {_MEANS} FROM mx"
@@ -395,7 +417,7 @@ SQL["standardise_stats"] = f"WITH {SCALED} " + " UNION ALL ".join(f"SELECT 'f{i}
 @query(f"WITH {SCALED}, s AS (SELECT avg(f0) AS m, stddev_pop(f0) AS d FROM q) SELECT label, round(sum((f0 - m) / d), 4) AS total, count(*) AS n FROM q, s GROUP BY label")
 def standardised_head(spark, sf):
     pts = scaled(spark, sf)
-    out = logreg.standardise(pts, ["f0"], logreg.moments(pts, ["f0"]))
+    out = logreg.standardised(pts, ["f0"], logreg.moments(pts, ["f0"]))
     return out.groupBy("label").agg(F.round(F.sum("f0"), 4).alias("total"), F.count("*").alias("n"))
 
 

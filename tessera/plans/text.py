@@ -127,32 +127,59 @@ def labelled_clean(spark, sf):
 def _log(spark, sf) -> DataFrame:
     e = table(spark, sf, "events").withColumn("pos", F.floor(F.col("event_id") / 25))
     k = F.col("event_id") % 25
-    line = F.when(k == 1, F.format_string("[SparkSession] rank up local[%d] x heap=%d MB", F.col("user_id") % 8 + 1, F.col("user_id") * 64)).when(k % 5 == 2, F.format_string("Iteration %d done", F.col("user_id") % 40)).when(
-        k == 8, F.format_string("max_iter iter 99 %d", F.col("user_id"))).when(k % 9 == 4, F.format_string("Total WCSS : %s", F.format_number(F.col("value") * 100, 2))).otherwise(F.concat(F.lit("note "), F.col("event_type")))
+    line = F.when(k == 1, F.format_string("[SparkSession] rank up local[%d] x heap=%d MB, was local[99] heap=1 MB", F.col("user_id") % 8 + 1, F.col("user_id") * 64)).when(k % 5 == 2, F.format_string("%s %d done", F.element_at(F.array(*(F.lit(x) for x in ("Iteration", "epoch", "Round:", "iters ="))), (F.col("user_id") % 4 + 1).cast("int")), F.col("user_id") % 40)).when(
+        k == 8, F.format_string("Max-Iter iter 99 %d", F.col("user_id"))).when(k % 9 == 4, F.format_string("Total WCSS : %s", F.format_number(F.col("value") * 100, 2))).otherwise(F.concat(F.lit("note "), F.col("event_type")))
     return e.select(F.col("pos").alias("log"), k.alias("line_no"), line.alias("line"))
 
 
-_LOG = """l AS (SELECT event_id // 25 AS log, event_id % 25 AS line_no, CASE WHEN event_id % 25 = 1 THEN format('[SparkSession] rank up local[{}] x heap={} MB', user_id % 8 + 1, user_id * 64)
-  WHEN event_id % 25 % 5 = 2 THEN format('Iteration {} done', user_id % 40) WHEN event_id % 25 = 8 THEN 'max_iter iter 99 ' || user_id
+_LOG = """l AS (SELECT event_id // 25 AS log, event_id % 25 AS line_no, CASE WHEN event_id % 25 = 1 THEN format('[SparkSession] rank up local[{}] x heap={} MB, was local[99] heap=1 MB', user_id % 8 + 1, user_id * 64)
+  WHEN event_id % 25 % 5 = 2 THEN format('{} {} done', (['Iteration', 'epoch', 'Round:', 'iters ='])[user_id % 4 + 1], user_id % 40) WHEN event_id % 25 = 8 THEN 'Max-Iter iter 99 ' || user_id
   WHEN event_id % 25 % 9 = 4 THEN 'Total WCSS : ' || format('{:,.2f}', value * 100) ELSE 'note ' || event_type END AS line FROM events)"""
 
 
-@query(f"WITH {_LOG}, h AS (SELECT log, arg_min(line, line_no) AS l FROM l WHERE line LIKE '[SparkSession]%' GROUP BY log) SELECT log, CAST(regexp_extract(l, 'local\\[(\\d+)\\]', 1) AS INT) AS cores, CAST(regexp_extract(l, 'heap=(\\d+)', 1) AS INT) AS heap_mb FROM h")
+# The oracles take the lines' own parts, not the patterns.
+@query(f"WITH {_LOG}, h AS (SELECT log, arg_min(line, line_no) AS l FROM l WHERE line LIKE '[SparkSession]%' GROUP BY log) SELECT log, CAST(split_part(split_part(l, 'local[', 2), ']', 1) AS INT) AS cores, CAST(split_part(split_part(l, 'heap=', 2), ' ', 1) AS INT) AS heap_mb FROM h")
 def log_regex_alloc(spark, sf):
     return logs.allocation(_log(spark, sf), "log", "line_no")
 
 
-@query(f"WITH {_LOG}, f AS (SELECT log, unnest(regexp_extract_all(line, '(?i)iter(?:ation)?\\s*[:=#]?\\s*(\\d+)', 1)) AS n FROM l WHERE line_no > 0 AND line NOT LIKE '%max_iter%') SELECT log, max(CAST(n AS INT)) AS iterations FROM f GROUP BY log")
+@query("SELECT event_id // 25 AS log, CAST(max(user_id % 40) AS INT) AS iterations FROM events WHERE event_id % 25 % 5 = 2 GROUP BY 1")
 def log_regex_iters(spark, sf):
     return logs.iterations(_log(spark, sf), "log", "line_no")
 
 
-@query(f"WITH {_LOG}, t AS (SELECT log, string_agg(line, chr(10) ORDER BY line_no) AS body FROM l GROUP BY log) SELECT log, TRY_CAST(replace(regexp_extract_all(body, 'Total WCSS\\s*:\\s*([0-9][0-9,]*\\.?[0-9]*)', 1)[-1], ',', '') AS DOUBLE) AS wcss FROM t")
+@query("SELECT event_id // 25 AS log, arg_max(round(value * 100, 2), event_id % 25) FILTER (event_id % 25 IN (4, 13)) AS wcss FROM events GROUP BY 1")
 def log_regex_wcss(spark, sf):
     whole = _log(spark, sf).groupBy("log").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return whole.select("log", logs.last_wcss(F.col("body")).alias("wcss"))
 
 
+_LINES_BY_HAND = (
+    (1, "[SparkSession] a local[4] b heap=3072 MB then local[9] heap=1 MB", 4, 3072, None, None), (2, "[SparkSession] local[2] heap=512MB", None, None, None, None),
+    (3, "epoch 7", None, None, 7, None), (4, "Round 3", None, None, 3, None), (5, "iterations: 12", None, None, 12, None), (6, "Iteration [4]", None, None, 4, None),
+    (7, "diter 9", None, None, None, None), (8, "MAX-ITER iter 50", None, None, None, None), (9, "max_iter: iter 60", None, None, None, None), (10, "iters=5 of round 8", None, None, 8, None),
+    (11, "Total WCSS : 1.25e+07", None, None, None, 1.25e7), (12, "Total WCSS:2,616,692.1636", None, None, None, 2616692.1636), (13, "Total WCSS : none", None, None, None, None),
+    (14, "Total WCSS : 5.5 Total WCSS : 4E-3", None, None, None, 0.004),
+)
+
+
+def _by_hand(k: int, name: str, kind: str) -> str:
+    rows = ", ".join(f"({r[0]}, CAST({'NULL' if r[k] is None else repr(r[k])} AS {kind}))" for r in _LINES_BY_HAND)
+    return f"SELECT CAST(log AS BIGINT) AS log, {name} FROM (VALUES {rows}) t(log, {name})"
+
+
+def _hand_log(spark) -> DataFrame:
+    return spark.createDataFrame([(r[0], 1, r[1]) for r in _LINES_BY_HAND], "log bigint, line_no int, line string")
+
+
+@query(f"SELECT * FROM ({_by_hand(2, 'cores', 'INT')}) JOIN ({_by_hand(3, 'heap_mb', 'INT')}) USING (log) JOIN ({_by_hand(4, 'iterations', 'INT')}) USING (log) JOIN ({_by_hand(5, 'wcss', 'DOUBLE')}) USING (log)")
+def log_lines_by_hand(spark, sf):
+    """Each pattern over lines whose figures are written out by hand."""
+    log = _hand_log(spark)
+    out = log.select("log", logs.last_wcss(F.col("line")).alias("wcss"))
+    return out.join(logs.allocation(log, "log", "line_no"), "log", "left").join(logs.iterations(log, "log", "line_no"), "log", "left")
+
+
 @query("SELECT t, CAST(floor(mb) AS BIGINT) AS mb FROM (VALUES ('512m', 512.0), (' 4G ', 4096.0), ('2048k', 2.0), ('1073741824', 1024.0), ('1.5g', 1536.0), ('64MB', 64.0)) v(t, mb)")
 def mem_parse(spark, sf):
     return spark.createDataFrame([(t,) for t in ("512m", " 4G ", "2048k", "1073741824", "1.5g", "64MB")], "t string").select("t", scalars.memory_mb(F.col("t")).alias("mb"))

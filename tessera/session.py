@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import os
+import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
@@ -42,19 +44,35 @@ def baseline_heap_gb(threads: int, total_gb: float) -> int:
 
 
 def build_session(app: str = "tessera", cores: int | None = None, heap: str | None = None, **conf: str) -> SparkSession:
-    """A local session; on a cluster, spark-submit's settings win and only unset ones are filled in."""
+    """A local session, or under spark-submit the one that it describes.
+
+    spark-submit's settings win, its master and resources are never touched, and only what is unset is filled in.
+    Explicit ``conf`` wins over defaults, and over spark-submit where it names what that left unset.  A local session
+    gets a folder for staged tables; on a cluster ``spark.checkpoint.dir`` must name a shared one.
+    """
     n = resolve_cores(cores)
     b = SparkSession.builder.appName(app)
-    if not os.environ.get("MASTER") and "spark.master" not in conf:
-        b = b.master(f"local[{n}]")
     defaults = {
-        "spark.driver.memory": f"{resolve_heap_mb(heap)}m",
-        "spark.sql.shuffle.partitions": str(2 * n),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.ui.enabled": "false",
     }
-    for k, v in {**defaults, **conf}.items():
+    given = submitted()
+    if given is None:
+        master = conf.get("spark.master") or os.environ.get("MASTER") or f"local[{n}]"
+        defaults |= {"spark.master": master, "spark.driver.memory": f"{resolve_heap_mb(heap)}m", "spark.ui.enabled": "false"}
+        if master.startswith("local"):
+            defaults |= {"spark.sql.shuffle.partitions": str(2 * n), "spark.checkpoint.dir": os.path.join(tempfile.gettempdir(), "tessera-checkpoints")}
+    for k, v in settings(defaults, conf, given or {}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def submitted() -> dict[str, str] | None:
+    """The settings of spark-submit, or None if this process was not started by it."""
+    return dict(SparkConf().getAll()) if os.environ.get("PYSPARK_GATEWAY_PORT") else None
+
+
+def settings(defaults: dict[str, str], conf: dict[str, str], given: dict[str, str]) -> dict[str, str]:
+    """What to set: ``conf`` over ``defaults``, less whatever is ``given`` already."""
+    return {k: v for k, v in {**defaults, **conf}.items() if k not in given}
