@@ -645,6 +645,48 @@ class TestLicenses:
         assert licenses.scan(docs.where("false")).count() == 0
 
 
+    def test_against_brute_force_without_the_filter(self, spark):
+        r = random.Random(6)
+        notices = [n for _, n in licenses.TEMPLATES]
+        rows = []
+        for k in range(60):
+            lines = [words(r.randrange(1, 12), 400 + k) for _ in range(r.randrange(1, 4))]
+            if k % 2:
+                v = r.choice(notices).split()
+                for _ in range(r.randrange(0, 4)):
+                    v[r.randrange(len(v))] = f"z{k}"
+                lines.insert(r.randrange(len(lines) + 1), " ".join(v))
+            rows.append((k, "\n".join(lines), None))
+        rows += [(60, words(50_000, 90) + "\nReleased under the MIT License.\n" + words(50_000, 91), None), (61, "", None), (62, None, None)]
+        got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string, path string")).collect()}
+        terms = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+        df = Counter(w for _, t, _ in rows for w in set(terms(t)))
+        idf = lambda w: math.log((len(rows) + 1) / (df[w] + 1)) + 1
+
+        def vector(t):
+            v = {w: c * idf(w) for w, c in Counter(terms(t)).items()}
+            n = math.sqrt(sum(x * x for x in v.values()))
+            return {w: x / n for w, x in v.items()}
+
+        held = [vector(n) for n in notices]
+        for k, t, _ in rows:
+            best = (0.0, 0, None)
+            for u in {t or "", *(t or "").split("\n"), *re.split(r"\n[ \t]*\n", t or "")}:
+                v = vector(u) if terms(u) else {}
+                for i, h in enumerate(held):
+                    best = max(best, (round(sum(x * v.get(w, 0.0) for w, x in h.items()), 6), -i, licenses.TEMPLATES[i][0]), key=lambda b: b[:2])
+            if abs(best[0] - licenses.LEAST_COSINE) > 1e-4:
+                assert (got[k].own_license, got[k].cosine and round(got[k].cosine, 4)) == ((best[2], round(best[0], 4)) if best[0] >= licenses.LEAST_COSINE else (None, None))
+
+    def test_ties_shares_and_ancestors(self, spark):
+        pairs = (("A", "alpha beta gamma"), ("B", "alpha beta gamma"), ("C", "delta epsilon"))
+        rows = [(1, "alpha beta gamma", "x/y/1"), (2, "none here", "x/y/z/w/2"), (3, "none here", "x/3"), (4, "delta epsilon " + words(4, 2), "x/4"), (5, "none", "5"), (6, "delta epsilon", "q/6"), (6, "delta epsilon", "q/6"), (7, "delta epsilon", "q/0")]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, path string")
+        got = {x.doc_id: (x.own_license, x.inherited_from, x.license) for x in licenses.scan(docs, pairs, least=0.3, file_share=0.9).collect()}
+        assert got[1] == ("A", None, "A") and got[2] == (None, "x/y", "A") and got[3] == (None, "x", "C") and got[5] == (None, None, None) and got[4][0] == "C" and got[6] == ("C", None, "C")
+        assert licenses.scan(docs, pairs, path_col=None).where("inherited_from is not null").count() == 0
+
+
 class TestChat:
     def brute(self, rows):
         convs = {}
