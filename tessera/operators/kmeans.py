@@ -128,13 +128,6 @@ def initial_centres(points: DataFrame, features: Sequence[str], k: int, seed: in
     return np.array(out)
 
 
-def ordered_coordinates(points: DataFrame, features: Sequence[str], k: int) -> np.ndarray:
-    """Plain starting centres at the quantiles (i + 1/2) / k of each feature; the same on every engine."""
-    at = [(i + 0.5) / k for i in range(k)]
-    row = points.agg(*(F.percentile(f, F.array(*map(F.lit, at))).alias(f) for f in features)).first()
-    return np.array([[row[f][i] for f in features] for i in range(k)])
-
-
 @dataclass
 class Result:
     centres: np.ndarray
@@ -205,7 +198,9 @@ def fit(
             else:
                 models = dict.fromkeys(shards, merge_aligned(local, rows))
             moved_by = max(shift(old[s], models[s]) for s in shards)
-            log.append({"round": used, "shift": moved_by, "local_wcss": sum(s.wcss for s in stats.values())})
+            # The hybrid mode's scalar channel carries the exact sum over all points at the centres just shared.
+            scalar = {"scalar": global_stats(points, features, models[shards[0]]).wcss} if mode == sync_modes.HYBRID else {}
+            log.append(scalar | {"round": used, "shift": moved_by, "local_wcss": sum(s.wcss for s in stats.values())})
             if mode in (sync_modes.FEDAVG, sync_modes.QUEUE) and moved_by < tol:
                 converged = True
                 break

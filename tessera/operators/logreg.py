@@ -6,6 +6,7 @@ weights; shards' solvers run in step on the driver, which holds only a few numbe
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -144,6 +145,8 @@ class Result:
     rounds: int
     converged: bool
     log: list[dict] = field(default_factory=list)
+    #: A row for each shard and round: norms of its own and the shared weights, intercept, rows, losses, evaluations.
+    workers: list[dict] = field(default_factory=list)
     #: Mean and deviation of each feature where weights are those of standardised features.
     moments: dict[str, tuple[float, float]] | None = None
 
@@ -181,6 +184,7 @@ def fit(
     if not shards:
         raise RuntimeError("no usable rows")
     models, log, stop, before, used, rows = {s: model.copy() for s in shards}, [], False, None, 0, {}
+    workers, began = [], time.perf_counter()
     scales = deviations(points, features, shard) if standardise else None
     solve = lambda part, m: local_solve(part, features, label, m, reg, local_steps, shard, solver, rate, scales)
     if mode == sync_modes.ASYNC:
@@ -190,14 +194,16 @@ def fit(
             out, stats, _ = solve(points.where(F.col(shard) == s), {s: models[s]})
             served, alpha, stale = blend_on_arrival(served, out[s], version, base[s], server_rate, damping)
             version += 1
+            workers.append(_worker_round(s, 1 + sum(w["worker_id"] == s for w in workers), out[s], served, models[s], stats[s].n))
             base[s], models[s], rows[s] = version, served.copy(), stats[s].n
-            log.append({"version": version, "shard": s, "staleness": stale, "alpha": alpha})
+            log.append({"version": version, "shard": s, "staleness": stale, "alpha": alpha, "worker_round": workers[-1]["iteration"], "rows": stats[s].n, "weight_norm": workers[-1]["weight_norm"], "elapsed_s": time.perf_counter() - began})
         final, used = served, len(turns)
     else:
         frozen: dict[int, bool] = dict.fromkeys(shards, False)
         for used in range(1, rounds + 1):
             if mode == sync_modes.NONE and used > 1:
                 log.append(log[0] | {"round": used, "evaluations": 0})
+                workers += [w | {"iteration": used, "weight_delta": 0.0, "n_eval": 0} for w in workers if w["iteration"] == 1]
                 continue
             entering = models if warm_start and mode != sync_modes.NONE else {s: model.copy() for s in shards}
             going = {s: m for s, m in entering.items() if not frozen[s]}
@@ -213,14 +219,23 @@ def fit(
             else:
                 models = dict.fromkeys(shards, weighted([(local[s], rows[s]) for s in shards]))
             total = sum(rows.values())
+            workers += [_worker_round(s, used, local[s], models[s], entering[s], rows[s]) | {"loss_start": traces[s].losses[0] if s in traces and traces[s].losses else None, "n_eval": traces[s].evaluations if s in traces else 0} for s in shards]
             loss = sum(regularised(t, entering[s], reg)[0] * t.n for s, t in stats.items()) / max(1, sum(t.n for t in stats.values()))
-            log.append({"round": used, "global_loss": loss, "rows": total, "evaluations": sum(t.evaluations for t in traces.values())})
+            scalar = {"scalar": float(models[shards[0]][-1]), "elapsed_s": time.perf_counter() - began} if mode == sync_modes.HYBRID else {}
+            log.append(scalar | {"round": used, "global_loss": loss, "rows": total, "evaluations": sum(t.evaluations for t in traces.values())})
             if mode in (sync_modes.FEDAVG, sync_modes.QUEUE) and converged(loss, before, tol):
                 stop = True
                 break
             before = loss
         final = weighted([(models[s], rows[s]) for s in shards])
-    return _finish(points, features, label, final, used, stop, log)
+    return replace(_finish(points, features, label, final, used, stop, log), workers=workers)
+
+
+def _worker_round(shard: int, used: int, local: np.ndarray, shared: np.ndarray, entering: np.ndarray, rows: int) -> dict:
+    return {
+        "worker_id": int(shard), "iteration": used, "weight_norm": float(np.linalg.norm(shared[:-1])), "weight_delta": float(np.linalg.norm(shared[:-1] - entering[:-1])),
+        "local_weight_norm": float(np.linalg.norm(local[:-1])), "intercept": float(shared[-1]), "row_count": int(rows),
+    }
 
 
 def _finish(points, features, label, model, used, stop, log) -> Result:

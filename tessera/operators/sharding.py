@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranges import by_range, cuts_of, range_of
+from tessera.staging import delete
 
 
 def resolve_workers(workers: int | None) -> int:
     return max(1, int(workers)) if workers is not None else 1
 
 
+def cores_each(total: int, workers: int, whole: bool = True) -> int:
+    """Cores of each worker: rounded up where workers share a machine in turn (``whole``), down for a fair baseline; one at least."""
+    return max(1, -(-total // workers) if whole else total // workers)
+
+
 def by_key(key: str, shards: int) -> Column:
     return F.pmod(F.col(key), F.lit(shards))
 
@@ -72,3 +78,8 @@ def line_numbers(lines: DataFrame) -> DataFrame:
 def write_shards(df: DataFrame, path: str) -> None:
     """A folder for each shard; many files at once."""
     df.write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def clean_shards(spark: SparkSession, path: str) -> None:
+    """Deletes what ``write_shards`` wrote; a path that is not there is no error."""
+    delete(spark, path)

@@ -55,6 +55,16 @@ def normalise(name: str | None) -> str:
     return found
 
 
+def descriptor(name: str | None) -> SyncMode:
+    """What a mode exchanges, by any of its names."""
+    return MODES[normalise(name)]
+
+
+def exchanges(name: str | None) -> bool:
+    """Whether a mode's shards exchange models while they train (all but independent ones and the driver's queue do so directly)."""
+    return normalise(name) not in (NONE, QUEUE)
+
+
 def frame(spark: SparkSession) -> DataFrame:
     rows = [(m.name, m.pattern, m.averages, m.ordered_log) for m in MODES.values()]
     return spark.createDataFrame(rows, "mode string, pattern string, averages boolean, ordered_log boolean")

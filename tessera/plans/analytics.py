@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import metrics as M
+from tessera.operators import ranks
 from tessera.plans.tables import CELLS, ITERATIONS, cells, iterations, table
 
 QUERIES, SQL = {}, {}
@@ -148,9 +150,7 @@ _IQR = "s AS (SELECT run, median(ttt) AS med, list_sort(list(ttt)) AS v, count(*
 
 
 def _iqr(spark, sf) -> DataFrame:
-    s = _ttt(spark, sf).groupBy("run").agg(F.median("ttt").alias("med"), M.sorted_values("ttt").alias("v"), F.count("*").alias("n"))
-    lo, hi = M.interquartile(F.col("v"))
-    return s.withColumn("lo", lo).withColumn("hi", hi)
+    return ranks.medians(_ttt(spark, sf), ["run"], "ttt", "med", lo=ranks.LOWER_QUARTILE, hi=ranks.UPPER_QUARTILE)
 
 
 @query(f"WITH {_TTT}, {_IQR}, k AS (SELECT *, row_number() OVER (ORDER BY med, run) AS rank, lead(lo) OVER (ORDER BY med, run) AS next_lo FROM i) SELECT run, rank, round(med, 4) AS med, CASE WHEN hi < next_lo THEN 'SEPARABLE' ELSE 'NOT SEPARABLE' END AS verdict FROM k")
@@ -191,7 +191,7 @@ def run_driver_rollup(spark, sf):
 
 @query(f"WITH {CELLS}, s AS (SELECT wid, list_sort(list(rss)) AS v, count(*) AS n FROM c GROUP BY wid) SELECT wid, v[1 + CAST(round_even(0.95 * (n - 1), 0) AS INT)] AS p95, v[1 + CAST(round_even(0.5 * (n - 1), 0) AS INT)] AS p50 FROM s")
 def pctl_nearest_rank(spark, sf):
-    return cells(spark, sf).groupBy("wid").agg(F.collect_list("rss").alias("v")).select("wid", scalars.nearest_rank(F.col("v"), 95).alias("p95"), scalars.nearest_rank(F.col("v"), 50).alias("p50"))
+    return ranks.at_ranks(cells(spark, sf), ["wid"], "rss", {"p95": ranks.nearest(95), "p50": ranks.nearest(50)}).drop("n")
 
 
 @query(f"WITH {_TTT}, {_IQR} SELECT run, round(med, 4) AS med, round(lo, 4) AS lo, round(hi, 4) AS hi FROM i")
@@ -297,8 +297,8 @@ def anti_resume(spark, sf):
 )
 def fair_baseline_match(spark, sf):
     c = cells(spark, sf)
-    fw = c.where("cores <= 2").groupBy("wid", "cores", (F.col("driver") + 1).alias("workers")).agg(F.median("wall").alias("med"))
-    base = c.groupBy(F.col("wid").alias("bw"), F.col("cores").alias("bc")).agg(F.median("wall").alias("base"))
+    fw = ranks.medians(c.where("cores <= 2").withColumn("workers", F.col("driver") + 1), ["wid", "cores", "workers"], "wall", "med")
+    base = ranks.medians(c, ["wid", "cores"], "wall", "base").select(F.col("wid").alias("bw"), F.col("cores").alias("bc"), "base")
     hit = fw.join(base, (F.col("bw") == F.col("wid")) & (F.col("bc") == F.col("cores") * F.col("workers")))
     return hit.select("wid", "cores", "workers", r(F.try_divide("base", "med")).alias("speedup"))
 
@@ -457,8 +457,9 @@ def sync_overhead(spark, sf):
 
 @query(f"WITH {CELLS} SELECT wid, cores, round(avg(rss), 4) AS mean_rss, max(rss) AS peak, list_sort(list(rss))[1 + CAST(round_even(0.95 * (count(*) - 1), 0) AS INT)] AS p95, min(rss) AS low FROM c GROUP BY wid, cores")
 def sample_summary(spark, sf):
-    a = cells(spark, sf).groupBy("wid", "cores").agg(r(F.avg("rss"), 4).alias("mean_rss"), F.max("rss").alias("peak"), F.collect_list("rss").alias("v"), F.min("rss").alias("low"))
-    return a.select("wid", "cores", "mean_rss", "peak", scalars.nearest_rank(F.col("v"), 95).alias("p95"), "low")
+    a = cells(spark, sf).groupBy("wid", "cores").agg(r(F.avg("rss"), 4).alias("mean_rss"), F.max("rss").alias("peak"), F.min("rss").alias("low"))
+    p95 = ranks.at_ranks(cells(spark, sf), ["wid", "cores"], "rss", {"p95": ranks.nearest(95)})
+    return a.join(p95, ["wid", "cores"]).select("wid", "cores", "mean_rss", "peak", "p95", "low")
 
 
 @query(f"WITH {CELLS}, a AS (SELECT wid, cores, avg(wall) AS w, avg(rss) AS m FROM c GROUP BY wid, cores), b AS (SELECT wid, min(m) AS m0 FROM a GROUP BY wid) SELECT a.wid, cores, round(w, 4) AS wall, round(m / m0, 6) AS mem_response FROM a JOIN b ON a.wid = b.wid")
@@ -473,13 +474,79 @@ def resume_bookkeeping(spark, sf):
     return x.withColumn("skip", F.col("timed_out") >= 2)
 
 
-@query()
+_LEVELS = {"dims": (8, 16, 32), "k": (4, 8, 16), "cores": (1, 2, 4, 8)}
+_DESIGN = M.seeded_design(_LEVELS, 12, seed=7)
+
+
+def _design_sql() -> str:
+    """The greedy choice in SQL; where it begins and the order of runs are the seed's draws, given to both."""
+    names = list(_LEVELS)
+    value = lambda f, t: f"{t}.{f}i / {len(_LEVELS[f]) - 1}.0"
+    far = " + ".join(f"pow({value(f, 'p')} - {value(f, 'q')}, 2)" for f in names)
+    room = " AND ".join(f"(SELECT count(*) FROM g q WHERE list_contains(s.chosen, q.i) AND q.{f} = p.{f}) < {-(-12 // len(_LEVELS[f])) + 1}" for f in names)
+    levels = " ".join(f", (SELECT unnest({list(v)}) AS {f}, unnest(range({len(v)})) AS {f}i)" for f, v in _LEVELS.items()).lstrip(", ")
+    index = " + ".join(f"{f}i * {int(np.prod([len(_LEVELS[x]) for x in names[k + 1 :]]))}" for k, f in enumerate(names))
+    return (
+        f"WITH RECURSIVE g AS (SELECT *, {index} AS i FROM {levels}), s AS (SELECT 1 AS n, [CAST({_DESIGN.start} AS BIGINT)] AS chosen UNION ALL "
+        f"SELECT n + 1, list_append(chosen, (SELECT CAST(p.i AS BIGINT) FROM g p WHERE NOT list_contains(s.chosen, p.i) AND {room} "
+        f"ORDER BY (SELECT round(min({far}), 9) FROM g q WHERE list_contains(s.chosen, q.i)) DESC, p.i LIMIT 1)) FROM s WHERE n < 12), "
+        f"c AS (SELECT chosen FROM s WHERE n = 12), o AS (SELECT unnest({_DESIGN.order}) AS at, unnest(range(12)) AS pick) "
+        "SELECT CAST(pick AS INT) AS pick, dims, k, cores FROM o, c, g WHERE g.i = c.chosen[o.at + 1]"
+    )
+
+
+@query(_design_sql())
 def design_maximin(spark: SparkSession, sf: str) -> DataFrame:
-    """A spread-out design of 12 cells from a small grid; levels are normalised to 0..1."""
-    levels = [(8, 16, 32), (4, 8, 16), (1, 2, 4, 8)]
-    grid = [(a, b, c) for a in levels[0] for b in levels[1] for c in levels[2]]
-    unit = [tuple(levels[f].index(v) / (len(levels[f]) - 1) for f, v in enumerate(g)) for g in grid]
-    return spark.createDataFrame([(n, *grid[i]) for n, i in enumerate(M.maximin_design(unit, 12, {2: 4}))], "pick int, dims int, k int, cores int")
+    """A spread-out design of 12 cells from a small grid, from a seeded start and in a seeded order."""
+    return spark.createDataFrame([(n, *cell) for n, cell in enumerate(_DESIGN.cells)], "pick int, dims int, k int, cores int")
+
+
+@query("SELECT o_orderkey AS run_id, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS position FROM orders WHERE o_orderkey % 100 = 0")
+def run_order(spark, sf):
+    """Runs in an order that a seed gives, alike on every cluster."""
+    runs = table(spark, sf, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("run_id"))
+    return M.seeded_order(runs, "run_id", 42)
+
+
+_REF = "t AS (SELECT *, lag(loss) OVER (PARTITION BY run ORDER BY iteration) AS p, first_value(grad_norm) OVER (PARTITION BY run ORDER BY iteration) AS g0 FROM m WHERE worker = 0), v AS (SELECT run, iteration, CASE WHEN count(*) > 1 THEN max(iter_time_s) - min(iter_time_s) ELSE 0.0 END AS var FROM m GROUP BY run, iteration), x AS (SELECT t.run, iteration, spark_time_s, sync_time_s, iter_time_s, loss, CASE WHEN iter_time_s > 0 THEN round(sync_time_s / iter_time_s * 100, 4) ELSE 0.0 END AS sync_pct, CASE WHEN iter_time_s > 0 THEN round(spark_time_s / iter_time_s, 4) ELSE 0.0 END AS fraction, CASE WHEN p > 0 THEN round((p - loss) / p, 6) ELSE 0.0 END AS drop, round(grad_norm / CASE WHEN g0 > 0 THEN g0 ELSE 1.0 END, 6) AS decay, round(var, 6) AS var FROM t JOIN v USING (run, iteration))"
+
+
+@query(f"WITH {ITERATIONS}, {_REF} SELECT run, iteration, sync_pct, fraction, CASE WHEN fraction > 0.6 THEN 'compute' WHEN fraction < 0.4 THEN 'sync' ELSE 'balanced' END AS bottleneck, drop AS loss_drop_rate, decay AS grad_norm_decay, var AS rank_variance_s FROM x")
+def logreg_epoch_detail(spark, sf):
+    return M.epoch_detail(iterations(spark, sf)).select("run", "iteration", "sync_pct", "fraction", "bottleneck", "loss_drop_rate", "grad_norm_decay", "rank_variance_s")
+
+
+@query(
+    f"WITH {ITERATIONS}, {_REF}, c AS (SELECT run, count(*) AS iterations, round(avg(spark_time_s), 6) AS spark_mean, max(spark_time_s) AS spark_max, round(stddev_pop(sync_time_s), 6) AS sync_std, round(avg(sync_pct), 4) AS pct_mean, "
+    "arg_max(loss, iteration) AS final_loss, max(var) AS variance_max, count(*) FILTER (fraction > 0.6) AS a, count(*) FILTER (fraction < 0.4) AS b, count(*) FILTER (fraction BETWEEN 0.4 AND 0.6) AS d FROM x GROUP BY run) "
+    "SELECT run, iterations, spark_mean, spark_max, sync_std, pct_mean, round(final_loss, 8) AS final_loss, variance_max, CASE WHEN a >= b AND a >= d THEN 'compute' WHEN b >= d THEN 'sync' ELSE 'balanced' END AS bottleneck_mode FROM c"
+)
+def logreg_epoch_summary(spark, sf):
+    e = M.epoch_detail(iterations(spark, sf))
+    c = e.groupBy("run").agg(
+        F.count("*").alias("iterations"), r(F.avg("spark_time_s")).alias("spark_mean"), F.max("spark_time_s").alias("spark_max"), r(F.stddev_pop("sync_time_s")).alias("sync_std"), r(F.avg("sync_pct"), 4).alias("pct_mean"),
+        r(F.max_by("loss", "iteration"), 8).alias("final_loss"), F.max("rank_variance_s").alias("variance_max"), *(F.count_if(F.col("bottleneck") == k).alias(k) for k in ("compute", "sync", "balanced")),
+    )
+    most = F.when((F.col("compute") >= F.col("sync")) & (F.col("compute") >= F.col("balanced")), "compute").when(F.col("sync") >= F.col("balanced"), "sync").otherwise("balanced")
+    return c.withColumn("bottleneck_mode", most).drop("compute", "sync", "balanced")
+
+
+@query(
+    f"WITH {_TTT}, tg AS (SELECT DISTINCT run FROM m), f AS (SELECT run, median(ttt) AS med, count(*) AS reached FROM tt WHERE worker > 0 GROUP BY run), b AS (SELECT run, median(ttt) AS base, count(*) AS base_reached FROM tt WHERE worker = 0 GROUP BY run) "
+    "SELECT tg.run, coalesce(reached, 0) AS reached, round(med, 4) AS median_ttt_s, coalesce(base_reached, 0) AS base_reached, round(base, 4) AS base_median_ttt_s, round(base / nullif(med, 0), 6) AS speedup FROM tg LEFT JOIN f USING (run) LEFT JOIN b USING (run)"
+)
+def logreg_ttt_speedup(spark, sf):
+    """Median time to the target of a mode's runs against the baseline's (here worker 0); null where one never got there."""
+    t = _ttt(spark, sf)
+    return M.ttt_speedup(iterations(spark, sf).select("run").distinct(), t.where("worker > 0"), t.where("worker = 0"), ["run"], "ttt").select(
+        "run", "reached", r("median_ttt_s", 4).alias("median_ttt_s"), "base_reached", r("base_median_ttt_s", 4).alias("base_median_ttt_s"), r("speedup").alias("speedup")
+    )
+
+
+@query("SELECT CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS peak, CAST(0 AS BIGINT) AS n")
+def empty_aggregates(spark, sf):
+    """Mean and maximum of nothing are null, not 0 and no error."""
+    return table(spark, sf, "events").where("value < -1e18").agg(F.avg("value").alias("mean"), F.max("value").alias("peak"), F.count("*").alias("n"))
 
 
 @query(f"WITH {ITERATIONS}, s AS (SELECT run, CAST(floor(iteration / 50) AS BIGINT) AS win, max(iter_time_s) AS busiest, count(*) AS n FROM m GROUP BY ALL) SELECT run, win, round(busiest, 4) AS busiest, n, busiest < 150 AS stalled FROM s")

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import assignment, kmeans, logreg, ring, sync_modes
+from tessera import recorders
+from tessera.operators import assignment, kernels, kmeans, logreg, ring, sync_modes
 from tessera.plans.tables import POINT_FEATURES, SCALED, SHARDS, scaled
 
 QUERIES, SQL = {}, {}
@@ -392,6 +393,27 @@ def logreg_gossip_step(spark, sf):
     return _model(spark, _fit(spark, sf, "gossip"))
 
 
+@query(
+    f"WITH {SCALED}, {_STEP}, g AS (SELECT {', '.join(f'sum(w{i} * n) / sum(n) AS v{i}' for i in range(5))} FROM lm) SELECT CAST(shard AS INT) AS worker_id, 1 AS iteration, n AS row_count, "
+    f"round(sqrt({' + '.join(f'w{i} * w{i}' for i in range(4))}), 6) AS local_weight_norm, round(sqrt({' + '.join(f'v{i} * v{i}' for i in range(4))}), 6) AS weight_norm, round(v4, 6) AS intercept FROM lm, g"
+)
+def logreg_worker_log(spark, sf):
+    """Each shard's round as the merged log holds it."""
+    log = recorders.worker_rounds(spark, _fit(spark, sf, "fedavg_mpi"), "r", "fedavg_mpi", SHARDS, 0.01, 4)
+    return log.select("worker_id", "iteration", "row_count", *(F.round(c, 6).alias(c) for c in ("local_weight_norm", "weight_norm", "intercept")))
+
+
+@query("SELECT kernel, (SELECT count(*) FROM lineitem) AS n, true AS same FROM (VALUES ('kmeans_counts'), ('kmeans_sums'), ('kmeans_wcss'), ('logreg_loss'), ('logreg_gradient')) t(kernel)")
+def kernel_equivalence(spark, sf):
+    """The engine's expressions against numpy over blocks of rows: counts alike, sums to 1e-9 of their size."""
+    pts = scaled(spark, sf).cache()
+    block = kernels.block_stats(pts, POINT_FEATURES, "label", np.array(START), np.array([*WEIGHTS, INTERCEPT]))
+    rows = kernels.row_stats(pts, POINT_FEATURES, "label", np.array(START), np.array([*WEIGHTS, INTERCEPT]))
+    pts.unpersist()
+    out = [(k, int(rows["kmeans_counts"].sum()), bool(np.allclose(rows[k], block[k], rtol=1e-9, atol=1e-8))) for k in rows]
+    return spark.createDataFrame(out, "kernel string, n bigint, same boolean")
+
+
 def _async_fold_sql() -> str:
     parts = [SCALED, _STEP, "v0 AS (SELECT w0, w1, w2, w3, w4 FROM lm WHERE shard = 0)"]
     for s in range(1, SHARDS):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import linalg, scalars
 from tessera.operators import ring, sharding, sync_modes, wordcount
 from tessera.plans.tables import SHARDS, table
+from tessera.sources import metrics as metric_tables
 from tessera.sources import points as point_files
 from tessera.sources import text as logs
 
@@ -235,3 +236,26 @@ def json_fields(spark, sf):
 @query("SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM events")
 def utc_stamp(spark, sf):
     return table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("stamp"))
+
+
+@query("SELECT event_id, event_type, round(value, 4) AS value FROM events")
+def json_round_trip(spark, sf):
+    """Records written as JSON texts and read back."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "value")
+    back = metric_tables.decode(metric_tables.encode(e, ["event_id", "event_type", "value"]), metric_tables.ddl("event_id bigint, event_type string, value double"))
+    return back.select("event_id", "event_type", F.round("value", 4).alias("value"))
+
+
+@query("SELECT line, header, label_name, label_float FROM (VALUES (1, true, 'y', true), (2, false, 'label', false), (3, true, 'label', false)) t(line, header, label_name, label_float)")
+def label_probe(spark, sf):
+    rows = []
+    for k, lines in enumerate((["f0,y", "1.5,1.0"], ["1.5,1", "2.5,0"], []), 1):
+        i = point_files.template_info(spark.createDataFrame([(x,) for x in lines], "value string"))
+        rows.append((k, i["header"], i["label_name"], i["label_float"]))
+    return spark.createDataFrame(rows, "line int, header boolean, label_name string, label_float boolean")
+
+
+@query("SELECT name, mode, exchanges FROM (VALUES ('no_sync', 'none', false), ('queue', 'ps_sync_fedavg_queue', false), ('mpi', 'allreduce_mpi', true), ('decentralized', 'gossip', true), ('hybrid', 'hybrid_ps_allreduce', true)) t(name, mode, exchanges)")
+def mode_descriptors(spark, sf):
+    rows = [(n, sync_modes.descriptor(n).name, sync_modes.exchanges(n)) for n in ("no_sync", "queue", "mpi", "decentralized", "hybrid")]
+    return spark.createDataFrame(rows, "name string, mode string, exchanges boolean")

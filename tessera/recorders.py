@@ -74,3 +74,33 @@ class Recorder:
     def write(self, spark: SparkSession, path: str, kind: str = "csv") -> None:
         w = self.frame(spark).write.mode("overwrite")
         w.option("header", True).csv(path) if kind == "csv" else w.json(path)
+
+
+def worker_rounds(spark: SparkSession, result, run_id: str, mode: str, workers: int, reg: float = 0.0, features: int = 0) -> DataFrame:
+    """Each shard's rounds of a fitted model (``Result.workers``) as merged iterations."""
+    rows = [r | {"run_id": run_id, "num_workers": workers, "sync_mode": mode, "reg_param": reg, "num_features": features} for r in result.workers]
+    names = metrics.MERGED_ITERATIONS.fieldNames()
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], metrics.MERGED_ITERATIONS)
+
+
+def staleness_log(spark: SparkSession, result) -> DataFrame:
+    """What an asynchronous fit's server took in, update by update."""
+    rows = [(e["version"], e["shard"], e.get("worker_round"), e.get("rows"), e["staleness"], e["alpha"], e.get("weight_norm"), e.get("elapsed_s")) for e in result.log if "staleness" in e]
+    return spark.createDataFrame(rows, metrics.STALENESS)
+
+
+def scalar_rounds(spark: SparkSession, result) -> DataFrame:
+    """The scalar that a hybrid fit's shards average beside their weights, round by round."""
+    rows = [(e["round"], e["scalar"], e.get("elapsed_s")) for e in result.log if "scalar" in e]
+    return spark.createDataFrame(rows, metrics.SCALAR_ROUNDS)
+
+
+def write_run(spark: SparkSession, result, folder: str, run_id: str, mode: str, workers: int, **more) -> None:
+    """Appends a fit's logs: rounds of its shards by mode and worker, staleness and scalars where the mode has them, and the run as JSON."""
+    rounds = worker_rounds(spark, result, run_id, mode, workers, **more)
+    metrics.append(rounds, f"{folder}/iter_metrics", metrics.MERGED_ITERATIONS, ["run_id", "sync_mode", "worker_id"])
+    for frame, name in ((staleness_log(spark, result), "staleness"), (scalar_rounds(spark, result), "scalars")):
+        if frame.head(1):
+            metrics.write_report(frame, f"{folder}/{name}", run_id)
+    run = {"run_id": run_id, "mode": mode, "workers": workers, "rounds": result.rounds, "converged": result.converged, "rows": result.rows, "loss": result.loss, "accuracy": result.accuracy}
+    metrics.append_history(spark.createDataFrame([run]), f"{folder}/runs")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,35 @@ def logistic(spark: SparkSession, rows: int, weights: list[float], seed: int = 4
     return out.withColumn("label", (F.col("__u") < 1 / (1 + F.exp(-z))).cast("int")).drop("__u")
 
 
+def classification(spark: SparkSession, rows: int = 540_000, width: int = 10, informative: int = 5, flip: float = 0.01, apart: float = 1.0, seed: int = 42) -> DataFrame:
+    """``f0..`` and ``label``: two clusters of each class at vertices of a cube of the informative features.
+
+    The other features are fixed random mixtures of the informative ones and noise; a share ``flip`` of labels is
+    drawn anew.
+    """
+    rng = np.random.default_rng(seed)
+    corners = (rng.permutation(1 << informative)[:4, None] >> np.arange(informative) & 1) * 2 - 1
+    mixture = rng.uniform(-1, 1, (width - informative, informative))
+    out = spark.range(rows).withColumn("__c", (F.col("id") % 4).cast("int"))
+    at = F.array(*[F.array(*[F.lit(float(x) * apart) for x in c]) for c in corners])
+    for j in range(informative):
+        out = out.withColumn(f"f{j}", F.get(F.get(at, F.col("__c")), j) + F.randn(seed + j))
+    for j in range(width - informative):
+        mixed = reduce(lambda a, b: a + b, [F.col(f"f{i}") * float(w) for i, w in enumerate(mixture[j])])
+        out = out.withColumn(f"f{informative + j}", mixed + F.randn(seed + informative + j) * 0.1)
+    drawn = F.rand(seed + width)
+    out = out.withColumn("__u", drawn)
+    return out.select(*[f"f{j}" for j in range(width)], F.when(F.col("__u") < flip / 2, 0).when(F.col("__u") < flip, 1).otherwise(F.col("__c") % 2).alias("label"))
+
+
+def published(spark: SparkSession, scale: float = 1.0, seed: int = 42) -> dict[str, DataFrame]:
+    """The published data sets at their sizes: 540,000 x 10 labelled rows, 540,000 x 8 rows around five centres, a million Zipf words."""
+    rng = np.random.default_rng(seed)
+    centres = rng.uniform(-10, 10, (5, 8)).tolist()
+    rows = int(540_000 * scale)
+    return {"logreg": classification(spark, rows, seed=seed), "kmeans": blobs(spark, rows, centres, 1.8, seed).drop("blob"), "wordcount": zipf_lines(spark, int(66_667 * scale), 5000, seed)}
+
+
 def ensure(spark: SparkSession, path: str, make, least_bytes: int) -> bool:
     """Writes ``make()`` as lines of text unless the path holds 80 % of ``least_bytes`` already; tells whether it wrote."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

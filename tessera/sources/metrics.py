@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.staging import delete
+
 _KINDS = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
 
 
@@ -74,6 +78,51 @@ def widen(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def prepare_table(spark: SparkSession, path: str, schema: T.StructType) -> str:
+    """Makes a folder of CSV files ready for rows of ``schema``: ``absent``, ``same``, ``upgraded`` or ``rotated``.
+
+    Old columns that are the first of the new ones are kept and the others left blank; the rows are written beside and
+    the folders change names, so a failure leaves one of them whole.  Otherwise the folder is moved aside.
+    """
+    fs, at = _folder(spark, path)
+    if not fs.exists(at):
+        return "absent"
+    old, names = spark.read.option("header", True).csv(path), schema.fieldNames()
+    if old.columns == names:
+        return "same"
+    aside = f"{path.rstrip('/')}.old-{time.strftime('%Y%m%d_%H%M%S')}-{uuid.uuid4().hex[:6]}"
+    upgraded = names[: len(old.columns)] == old.columns
+    if upgraded:
+        old.select(*old.columns, *[F.lit(None).cast("string").alias(n) for n in names[len(old.columns) :]]).write.option("header", True).csv(f"{path.rstrip('/')}.new")
+    fs.rename(at, _folder(spark, aside)[1])
+    if not upgraded:
+        return "rotated"
+    fs.rename(_folder(spark, f"{path.rstrip('/')}.new")[1], at)
+    delete(spark, aside)
+    return "upgraded"
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def encode(df: DataFrame, columns: list[str], out: str = "record") -> DataFrame:
+    """Columns as one JSON text."""
+    return df.withColumn(out, F.to_json(F.struct(*columns))).drop(*[c for c in columns if c != out])
+
+
+def decode(df: DataFrame, schema: T.StructType, column: str = "record") -> DataFrame:
+    """The fields of a JSON text as columns; a broken text gives nulls."""
+    names = schema.fieldNames()
+    return df.withColumn("__r", F.from_json(column, schema)).drop(column, *names).select("*", *[F.col(f"__r.{n}").alias(n) for n in names]).drop("__r")
+
+
+def write_report(df: DataFrame, path: str, run_id: str) -> None:
+    """Appends a report's rows under their run's id, as CSV with a header."""
+    df.select(F.lit(run_id).alias("run_id"), *[c for c in df.columns if c != "run_id"]).write.mode("append").option("header", True).csv(path)
+
+
 def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.logreg import moments, predict, standardised
+
 
 def tokens(line: Column) -> Column:
     """The non-blank tokens of a line; blank ones go before the width is looked at."""
@@ -46,6 +48,36 @@ def sniff_header(lines: DataFrame, line: str = "value") -> tuple[bool, int]:
     return not all(found), len(found)
 
 
+def template_info(lines: DataFrame, line: str = "value") -> dict:
+    """Whether a labelled file has a header, its label's name, and whether labels are written as decimals, by its first two lines."""
+    info = {"header": True, "label_name": "label", "label_float": False}
+    rows = [r[0].strip().split(",") for r in lines.select(line).head(2)]
+    if not rows:
+        return info
+    probe = rows[0]
+    try:
+        [float(x) for x in rows[0] if x]
+        info["header"] = False
+    except ValueError:
+        info["label_name"] = rows[0][-1]
+        probe = rows[1] if len(rows) > 1 else [""]
+    return info | {"label_float": "." in probe[-1]}
+
+
+def read_standardised(spark: SparkSession, path: str, width: int) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """Clean labelled points with features less their means by their deviations over all rows, and those figures."""
+    points = read_labelled(spark, path, width)
+    names = [f"f{i}" for i in range(width)]
+    by = moments(points, names)
+    return standardised(points, names, by), by
+
+
+def accuracy_of_head(points: DataFrame, features: list[str], weights, intercept: float, n: int, label: str = "label") -> float | None:
+    """The share of right predictions among the first ``n`` rows; None without rows."""
+    head = points.limit(n)
+    return predict(head, features, weights, intercept).agg(F.avg((F.col("prediction") == F.col(label).cast("double")).cast("int"))).first()[0]
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """The points of a file, its width taken from the first line."""
     lines = spark.read.text(path)
