@@ -155,6 +155,55 @@ class TestFingerprints:
             true = len(sets[1] & sets[r.o]) / len(sets[1] | sets[r.o])
             assert abs(r.j - true) < 0.13
 
+    @staticmethod
+    def brute(text):
+        """The low bytes of the 256 bins, or nothing for a text without words."""
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        long_ = lambda x, seed: xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+        int_ = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(4, "little"), seed)
+        w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.split("[\x09-\x0d ]+", text.lower()) if x]
+        if not w:
+            return []
+        hashes = []
+        if len(w) < 5:
+            hashes.append(xxhash.xxh64_intdigest(" ".join(str(signed(x)) for x in w).encode(), 42))
+        for i in range(len(w) - 4):
+            h = 42
+            for x in w[i : i + 5]:
+                h = long_(x, h)
+            hashes.append(h)
+        bins = [None] * 256
+        for h in map(signed, hashes):
+            k = (h >> 56) + 128
+            bins[k] = h if bins[k] is None else min(bins[k], h)
+        full = [k for k, x in enumerate(bins) if x is not None]
+        out = []
+        for b, x in enumerate(bins):
+            for t in range(fingerprint.PROBES):
+                if x is None:
+                    x = bins[fingerprint.mix_pair(b, t) % 256]
+            if x is None:
+                x = bins[min(full, key=lambda k: (signed(int_(k, int_(b, 42))) & -256) | k)]
+            out.append(x & 255)
+        return out
+
+    def test_query_against_brute_force(self, spark, texts, tmp_path):
+        rows = [(i, t) for i, t in texts if i != 14] + [(50, "a b c d e f g h"), (-7, words(9, 3))]
+        docs_of(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+        got = {r.doc_id: r for r in fingerprint.op1_fingerprints(spark, str(tmp_path)).collect()}
+        order = sorted(rows, reverse=True)
+        packed = lambda v: "".join(f"{int.from_bytes(bytes(v[k : k + 8]), 'little'):016X}" for k in range(0, len(v), 8))
+        like = lambda a, b: 1.0 if not a and not b else 0.0 if not a or not b else min(1.0, max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / 256 - 1 / 256) / (1 - 1 / 256)))
+        assert len(got) == len(rows)
+        for k, (i, t) in enumerate(order):
+            t, after = t or "", order[(k + 1) % len(order)][1] or ""
+            half = len(t) // 2
+            edited = t[: len(t) - half] + after[:half]
+            a, b, c = self.brute(t), self.brute(edited), self.brute(after)
+            r = got[i]
+            assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), packed(a), packed(b))
+            assert r.near_edited == pytest.approx(like(a, b)) and r.near_next == pytest.approx(like(a, c))
+
     def test_next_rows_wrap_and_ties(self, spark):
         ids = [9, 7, 7, 3, 1, -4, 50]
         df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string")
@@ -323,6 +372,14 @@ class TestPacking:
 
         t = Tokenizer.from_file(packing.default_tokenizer())
         rows = [(i, x) for i, x in texts if i != 14] + [(20, "a  b \n c<|endoftext|> d")]
+        twice = [(k, "r", text) for k, (_, text) in enumerate([(14, dict(texts)[1])] * 3)] + [(7, "n", words(3000, 4))]
+        again = spark.createDataFrame([(None if tag == "n" else 14, t, "en", "s", 0) for _, tag, t in twice], DOC)
+        parts = packing.pack(again, packing.default_tokenizer(), keep_ids=True).collect()
+        one = t.encode(dict(texts)[1], add_special_tokens=False).ids + [1]
+        assert sorted((p.doc_id, p.start, tuple(p.ids)) for p in parts if p.doc_id == 14 and p.length == len(one)) == [(14, 0, tuple(one))] * sum(p.doc_id == 14 and p.length == len(one) for p in parts)
+        assert sum(p.length for p in parts if p.doc_id == 14) == 3 * len(one)
+        lost = sorted((p.start, p.ids) for p in parts if p.doc_id is None)
+        assert [k for _, ids in lost for k in ids] == t.encode(words(3000, 4), add_special_tokens=False).ids + [1]
         got = packing.pack(docs_of(spark, rows).withColumn("offset", F.lit(1)), packing.default_tokenizer(), keep_ids=True).collect()
         by, at = {}, {}
         for r in got:
