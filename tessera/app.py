@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import session
+from tessera import session, staging
 from tessera.operators import kmeans, logreg, sharding, sync_modes, wordcount
 from tessera.recorders import Recorder, Stopwatch
 from tessera.sources import points as point_files
@@ -105,7 +105,10 @@ def main(argv: list[str] | None = None) -> None:
     args = vars(p.parse_args(argv))
     spark = session.build_session(cores=args.pop("cores"))
     spark.sparkContext.setLogLevel("ERROR")
-    print(json.dumps(run(spark, args.pop("app"), args.pop("input"), **args), indent=1))
+    try:
+        print(json.dumps(run(spark, args.pop("app"), args.pop("input"), **args), indent=1))
+    finally:
+        staging.clean_up(spark)
 
 
 if __name__ == "__main__":

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import sync_modes
 from tessera.operators.assignment import align
-from tessera.operators.models import model_table
+from tessera.operators.models import by_shard, model_table
 from tessera.operators.ring import neighbours
 
 
@@ -89,7 +89,7 @@ def shard_stats(points: DataFrame, features: Sequence[str], models: dict[int, np
     """Each shard's points against its own centres, all shards in one aggregation."""
     k, d = next(iter(models.values())).shape
     names = [[f"__c{i}_{j}" for j in range(d)] for i in range(k)]
-    table = F.broadcast(model_table(points.sparkSession, shard, {s: m.ravel() for s, m in models.items()}, [n for row in names for n in row]))
+    table = model_table(points.sparkSession, shard, {s: m.ravel() for s, m in models.items()}, [n for row in names for n in row])
     joined = points.withColumn(shard, F.col(shard).cast("bigint")).join(table, shard)
     stats = cluster_stats(joined, features, [[F.col(n) for n in row] for row in names], shard)
     found = _collect(stats.collect(), features, k, lambda r: r[shard])
@@ -176,13 +176,15 @@ def fit(
         base = {s: 0 for s in shards}
         served, version = centres.copy(), 0
         turns = list(arrivals) if arrivals is not None else [s for _ in range(rounds) for s in shards]
+        held = by_shard(points, shard, list(features))
         for s in turns:
-            part = points.where(F.col(shard) == s)
+            part = held.where(F.col(shard) == s)
             out, stats = _local(part, features, {s: models[s]}, local_epochs, shard)
             served, alpha, stale = blend_on_arrival(served, out[s], version, base[s], rate, damping)
             version += 1
             base[s], models[s], rows[s] = version, served.copy(), stats[s].rows
             log.append({"version": version, "shard": s, "staleness": stale, "alpha": alpha})
+        held.unpersist()
         final, used = served, len(turns)
     else:
         for used in range(1, rounds + 1):

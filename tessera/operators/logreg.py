@@ -18,7 +18,7 @@ from tessera.functions.linalg import linear, log_one_plus_exp, sigmoid
 from tessera.operators import sync_modes
 from tessera.operators.kmeans import blend_on_arrival, ring_peers, weighted
 from tessera.operators.lbfgs import Trace, minimise
-from tessera.operators.models import model_table
+from tessera.operators.models import by_shard, model_table
 
 
 def loss_terms(features: Sequence[str], label: str, weights: Sequence, intercept) -> tuple[Column, list[Column], Column]:
@@ -54,7 +54,7 @@ def shard_stats(points: DataFrame, features: Sequence[str], label: str, models:
     """Statistics of each shard at its own model (weights, then intercept), in one aggregation."""
     d = len(features)
     names = [f"__w{i}" for i in range(d + 1)]
-    table = F.broadcast(model_table(points.sparkSession, shard, models, names))
+    table = model_table(points.sparkSession, shard, models, names)
     joined = points.withColumn(shard, F.col(shard).cast("bigint")).join(table, shard)
     cols = [F.col(n) for n in names]
     rows = point_stats(joined, features, label, cols[:d], cols[d], shard).collect()
@@ -190,13 +190,15 @@ def fit(
     if mode == sync_modes.ASYNC:
         served, version, base = model.copy(), 0, dict.fromkeys(shards, 0)
         turns = list(arrivals) if arrivals is not None else [s for _ in range(rounds) for s in shards]
+        held = by_shard(points, shard, list(features))
         for s in turns:
-            out, stats, _ = solve(points.where(F.col(shard) == s), {s: models[s]})
+            out, stats, _ = solve(held.where(F.col(shard) == s), {s: models[s]})
             served, alpha, stale = blend_on_arrival(served, out[s], version, base[s], server_rate, damping)
             version += 1
             workers.append(_worker_round(s, 1 + sum(w["worker_id"] == s for w in workers), out[s], served, models[s], stats[s].n))
             base[s], models[s], rows[s] = version, served.copy(), stats[s].n
             log.append({"version": version, "shard": s, "staleness": stale, "alpha": alpha, "worker_round": workers[-1]["iteration"], "rows": stats[s].n, "weight_norm": workers[-1]["weight_norm"], "elapsed_s": time.perf_counter() - began})
+        held.unpersist()
         final, used = served, len(turns)
     else:
         frozen: dict[int, bool] = dict.fromkeys(shards, False)

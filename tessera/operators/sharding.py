@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ def by_key(key: str, shards: int) -> Column:
     return F.pmod(F.col(key), F.lit(shards))
 
 
-def numbered(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
-    """Adds ``line``, each row's number from 0 by ``order``.
+def numbered(df: DataFrame, order: str, buckets: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Adds ``line``, each row's number from 0 by ``order`` (an integer), then by ``ties``.
 
     Rows are dealt into ranges by quantiles, numbered within a range, and shifted by the rows of the ranges before,
     so no task sees all rows.
@@ -35,7 +37,7 @@ def numbered(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame
     before, total = {}, 0
     for k in sorted(sizes):
         before[k], total = total, total + sizes[k]
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(order, *ties))
     return ranged.withColumn("line", (own - 1 + F.expr(by_range(before, len(cuts) + 2, "__range"))).cast("bigint")).drop("__range")
 
 

@@ -98,6 +98,13 @@ def kmeans_lloyd_step(spark, sf):
     return centres_frame(spark, kmeans.fit(scaled(spark, sf), POINT_FEATURES, START, "allreduce_mpi", rounds=1).centres)
 
 
+@query(_lloyd_sql(START, 1).replace(f" SELECT cluster, {_rounded()} FROM k1", " SELECT round(sqrt(sum(" + " + ".join(f"pow(a.c{i} - b.c{i}, 2)" for i in range(4)) + ")), 6) AS shift FROM k1 a JOIN k0 b ON a.cluster = b.cluster"))
+def kmeans_shift(spark, sf):
+    """How far one exact step moves the centres (Frobenius norm)."""
+    r = kmeans.fit(scaled(spark, sf), POINT_FEATURES, START, "allreduce_mpi", rounds=1)
+    return spark.createDataFrame([(round(r.log[0]["shift"], 6),)], "shift double")
+
+
 @query(_lloyd_sql(START, 3))
 def kmeans_allreduce_t3(spark, sf):
     return centres_frame(spark, kmeans.fit(scaled(spark, sf), POINT_FEATURES, START, "allreduce_mpi", rounds=3, tol=0.0).centres)

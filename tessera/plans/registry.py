@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import analytics, learning, streams, text
+from tessera.plans import analytics, files, learning, streams, text
 
-QUERIES = {**text.QUERIES, **learning.QUERIES, **analytics.QUERIES, **streams.QUERIES}
-SQL = {**text.SQL, **learning.SQL, **analytics.SQL, **streams.SQL}
+QUERIES = {**text.QUERIES, **learning.QUERIES, **analytics.QUERIES, **streams.QUERIES, **files.QUERIES}
+SQL = {**text.SQL, **learning.SQL, **analytics.SQL, **streams.SQL, **files.SQL}

@@ -259,3 +259,13 @@ def label_probe(spark, sf):
 def mode_descriptors(spark, sf):
     rows = [(n, sync_modes.descriptor(n).name, sync_modes.exchanges(n)) for n in ("no_sync", "queue", "mpi", "decentralized", "hybrid")]
     return spark.createDataFrame(rows, "name string, mode string, exchanges boolean")
+
+
+@query(f"WITH {_WORDS.format(1)}, c AS (SELECT word, count(*) AS n FROM v GROUP BY word) SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS position FROM c QUALIFY position <= 2000 OR position % 100 = 0")
+def wordcount_sorted(spark, sf):
+    """All counts in order, most frequent first, numbered without one task that sorts them; some of the places."""
+    counts = wordcount.word_count(table(spark, sf, "documents"), "text")
+    # The count and the word's first two bytes, so that the many words of one count are split as well.
+    prefix = F.conv(F.rpad(F.hex(F.substring(F.col("word").cast("binary"), 1, 2)), 4, "0"), 16, 10).cast("bigint")
+    ordered = sharding.numbered(counts.withColumn("key", prefix - F.col("n") * 65536), "key", ties=["word"])
+    return ordered.select("word", "n", (F.col("line") + 1).alias("position")).where("position <= 2000 or position % 100 = 0")

@@ -198,6 +198,16 @@ class TestFitsAgainstNumpy:
         if mode == sync_modes.HYBRID:
             assert got.log[-1]["scalar"] == pytest.approx(got.wcss)
 
+    def test_many_models_are_joined(self, spark, sf_dir, monkeypatch):
+        from tessera.operators import models
+
+        pts = scaled(spark, sf_dir)
+        at = {s: self.START + s / 10 for s in range(4)}
+        sent = kmeans.shard_stats(pts, POINT_FEATURES, at)
+        monkeypatch.setattr(models, "LITERAL_NUMBERS", 5)
+        dealt = kmeans.shard_stats(pts, POINT_FEATURES, at)
+        assert all(np.allclose(sent[s].sums, dealt[s].sums) and sent[s].wcss == pytest.approx(dealt[s].wcss) for s in at)
+
     def test_gossip_merge_drift(self):
         r = np.random.default_rng(3)
         states = {s: (r.normal(size=(3, 2)) + s, 1.0, 10 + s) for s in range(4)}
