@@ -75,6 +75,15 @@ def test_stages(spark, sf_dir, docs):
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False))
 
 
+def test_rows_that_share_an_id(spark, sf_dir, docs):
+    words = lambda k, n=60: " ".join(f"v{(k * 7919 + j * 104729) % 9973}" for j in range(n))
+    rows = [(1, words(1), "en", "b", 1), (1, words(2), "en", "a", 1), (1, words(1), "en", "a", 2), (2, words(2) + " tail", "en", "s", 1), (3, words(3), "en", "s", 1), (0, words(3), "en", "s", 1), (5, None, "en", "s", 1), (5, None, "en", "s", 1)]
+    step = dict(corpus_pipeline.STAGES)["near-dedup"]
+    for parts in (1, 4):
+        got = sorted((r.doc_id, r.text or "", r.source, r.n_chars) for r in step(spark, spark.createDataFrame(rows, docs.schema).repartition(parts), sf_dir).collect())
+        assert got == sorted([(1, words(1), "a", 2), (1, words(2), "a", 1), (0, words(3), "s", 1), (5, "", "s", 1)])
+
+
 def test_empty_documents(spark, sf_dir, docs):
     out = docs.where("false")
     for _, step in corpus_pipeline.STAGES:
