@@ -273,10 +273,19 @@ def predict(points: DataFrame, features: Sequence[str], weights, intercept, out:
     return points.withColumn(out, F.when(sigmoid(z) >= 0.5, 1.0).otherwise(0.0))
 
 
-def mllib_baseline(points: DataFrame, features: Sequence[str], label: str = "label", *, max_iter: int = 10, reg: float = 0.01):
-    """MLlib's own logistic regression (L-BFGS, standardised)."""
+def mllib_baseline(points: DataFrame, features: Sequence[str], label: str = "label", *, max_iter: int = 10, reg: float = 0.01, parity_iter: int | None = None):
+    """MLlib's own logistic regression (L-BFGS, standardised); ``parity_iter``, if given, stands in for ``max_iter``."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     data = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(points.select(*features, F.col(label).cast("double").alias("label")).dropna())
-    return LogisticRegression(maxIter=max_iter, regParam=reg, standardization=True).fit(data)
+    return LogisticRegression(maxIter=parity_iter or max_iter, regParam=reg, standardization=True).fit(data)
+
+
+def baseline_report(points: DataFrame, features: Sequence[str], label: str = "label", **options) -> dict:
+    """The baseline's figures; a fit that fails is reported (``error``) and not raised."""
+    try:
+        m = mllib_baseline(points, features, label, **options)
+    except Exception as e:  # whatever the solver or the reader says is the report
+        return {"error": str(e).splitlines()[0] if str(e) else type(e).__name__}
+    return {"error": None, "weights": [float(x) for x in m.coefficients], "intercept": float(m.intercept), "iterations": int(m.summary.totalIterations), "accuracy": float(m.summary.accuracy)}

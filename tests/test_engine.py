@@ -241,6 +241,12 @@ class TestFitsAgainstNumpy:
         assert np.allclose(m.coefficients.toArray(), got.weights, atol=2e-3)
         pts.unpersist()
 
+    def test_baseline_report(self, spark, sf_dir):
+        pts = scaled(spark, sf_dir)
+        got = logreg.baseline_report(pts, POINT_FEATURES, max_iter=50, parity_iter=2)
+        assert got["error"] is None and got["iterations"] <= 2 and 0 <= got["accuracy"] <= 1
+        assert logreg.baseline_report(pts.where("false"), POINT_FEATURES)["error"] and logreg.baseline_report(pts, ["none"])["error"]
+
     def test_kernels(self, spark, sf_dir):
         x, _, _ = _numbers(spark, sf_dir)
         got = kernels.row_stats(scaled(spark, sf_dir), POINT_FEATURES, "label", self.START, np.zeros(5))
