@@ -775,3 +775,27 @@ class TestChat:
             got[r.conv_id] = (n, s + r.rendered)
         assert got == self.brute(rows)
         assert chat.format_conversations(df.where("false")).count() == 0
+
+    def test_ties_of_turn_numbers_have_one_order(self, spark):
+        rows = [(1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "c"), (2, 0, "user", "b"), (2, 0, "user", "a"), (3, None, "user", "x"), (3, 0, "user", "y")]
+        seen = []
+        for parts in (1, 5):
+            df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(parts)
+            got = chat.format_conversations(df).collect()
+            seen.append(sorted((r.conv_id, r.pos, r.n_turns, r.n_copies, r.rendered) for r in got))
+        assert seen[0] == seen[1]
+        # The second is a prefix of the first, as equal turns are ordered alike; a null turn comes last.
+        assert [r[:4] for r in seen[0]] == [(1, 1, 3, 1), (1, 2, 3, 1), (1, 3, 3, 1), (3, 1, 2, 1), (3, 2, 2, 1)]
+        assert "y" in seen[0][3][4] and "x" in seen[0][4][4]
+
+
+class TestPlans:
+    def test_no_cross_joins_and_no_python_in_native_operators(self, spark, sf_dir):
+        from tessera.llm import registry
+
+        native = ("op1_fingerprints", "op5_licenses", "op7_secrets", "op9_chat")
+        for name in (*native, "op6_decontamination", "op10_language"):
+            plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+            if name in native:
+                assert not any(x in plan for x in ("MapInArrow", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInPandas")), name
